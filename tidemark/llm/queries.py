@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bbit_minhash, line_shapes, spm_codec
+from tidemark.llm import bbit_minhash, line_shapes, phrase_index, spm_codec
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_codec.decode_corpus(spm_codec.encode_corpus(table(spark, sf_dir, "documents")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_shapes.spam_pages(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_shapes.page_shares(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_classes": p2_classes, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_classes": p2_classes, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares}
 
 SQL: dict[str, str] = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
