@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from tidemark.sources.tables import materialise, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
-_ENTRY = np.dtype([("key", "<u8"), ("text", "<u8"), ("sig", "<u8")])
+#: A band entry on its way: within a part 32 bits tell keys apart (a chance meeting only costs a comparison).
+_ENTRY = np.dtype([("key", "<u4"), ("text", "<u8"), ("sig", "<u8")])
 _FLUSH = 1_500_000  # entries held before they are handed on
 
 
@@ -169,11 +170,10 @@ def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows:
     frequent = {f: np.array(sorted(w for g, w in common if g == f), np.int32).view(np.uint32) for f in {f for f, _ in common}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, held, n = Bands(bands, rows), [], 0
+        maker, held, owners, seen, n = Bands(bands, rows), [], [], set(), 0
 
         def hand_on() -> pa.RecordBatch:
-            whole = np.concatenate(held)
-            part = (whole["key"] >> np.uint64(20)) % np.uint64(parts)
+            whole, part = np.concatenate(held), np.concatenate(owners)
             order = np.argsort(part, kind="stable")
             whole, part = whole[order], part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
@@ -189,7 +189,8 @@ def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows:
             minima = maker.minima(flat, starts)
             key = maker.keys(minima, salt[full])
             out = np.empty(key.size, _ENTRY)
-            out["key"] = key.ravel()
+            out["key"] = key.ravel() & np.uint64(0xFFFFFFFF)
+            owners.append((key.ravel() >> np.uint64(32)) % np.uint64(parts))
             out["text"] = np.tile(text[full], bands)
             out["sig"] = np.tile(maker.signature(minima), bands)
             held.append(out)
@@ -203,9 +204,14 @@ def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows:
             lists = batch.column(2)
             flat = lists.flatten().to_numpy().view(np.uint32)
             sizes = np.diff(lists.offsets.to_numpy())
-            # equal texts of a batch count once
+            # equal texts of a task count once
             first = np.zeros(len(text), bool)
-            first[np.unique(text, return_index=True)[1]] = True
+            for k, own in enumerate(text.tolist()):
+                if own not in seen:
+                    first[k] = True
+                    seen.add(own)
+            if len(seen) > 3_000_000:
+                seen.clear()
             flat, field, text, sizes = flat[np.repeat(first, sizes)], field[first], text[first], sizes[first]
             owner = np.repeat(np.arange(len(text)), sizes)
             rare = np.ones(len(flat), bool)
@@ -220,6 +226,7 @@ def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows:
             if n > _FLUSH:
                 yield hand_on()
                 held.clear()
+                owners.clear()
                 n = 0
         if n:
             yield hand_on()
