@@ -25,7 +25,8 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,37 +69,49 @@ def _fragments(rows: DataFrame, keys: list[str]) -> DataFrame:
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "lo long, hi long, before long, chunk int"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk, key, held = TaskContext.get().partitionId(), None, IntervalMap()
+        kinds: list[pa.DataType] = []
+        names: list[tuple] = []
+        sizes: list[int] = []
+        lo_out: list[int] = []
+        hi_out: list[int] = []
+        before: list[int | None] = []
+
+        def close() -> None:
+            if held.starts:
+                names.append(key)
+                sizes.append(len(held.starts))
+                lo_out.extend(held.starts)
+                hi_out.extend(held.ends)
+                before.append(None)
+                before.extend(held.ends[:-1])
+
+        def out() -> pa.RecordBatch:
+            at = np.repeat(np.arange(len(names)), sizes)
+            columns = [pa.array([n[k] for n in names], kinds[k]).take(pa.array(at)) for k in range(len(keys))]
+            columns += [pa.array(lo_out, pa.int64()), pa.array(hi_out, pa.int64()), pa.array(before, pa.int64()), pa.array(np.full(len(at), chunk, np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, "lo", "hi", "before", "chunk"])
 
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame({"lo": held.starts, "hi": held.ends})
-            frame["before"] = pd.array([None, *held.ends[:-1]], dtype="Int64")
-            for name, value in zip(keys, key, strict=True):
-                frame[name] = value
-            return frame.assign(chunk=chunk)[[*keys, "lo", "hi", "before", "chunk"]]
-
-        ready: list[pd.DataFrame] = []
         for rows in batches:
-            names = [rows[k].astype(object).where(rows[k].notna(), None) for k in keys]
-            for *own, lo, hi in zip(*names, rows["lo"], rows["hi"], strict=True):
-                if own != key:
-                    if held.starts:
-                        ready.append(out())
-                    key, held = own, IntervalMap()
-                    if len(ready) >= 1000:
-                        yield pd.concat(ready, ignore_index=True)
-                        ready = []
-                held.insert(int(lo), int(hi))
-        if held.starts:
-            ready.append(out())
-        if ready:
-            yield pd.concat(ready, ignore_index=True)
+            kinds = [rows.column(k).type for k in range(len(keys))]
+            for row in zip(*(column.to_pylist() for column in rows.columns), strict=True):
+                if row[:-2] != key:
+                    close()
+                    key, held = row[:-2], IntervalMap()
+                    if len(lo_out) >= 100_000:
+                        yield out()
+                        for kept in (names, sizes, lo_out, hi_out, before):
+                            kept.clear()
+                held.insert(row[-2], row[-1])
+        close()
+        if lo_out:
+            yield out()
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartitionByRange(n, *keys, "lo").sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return rows.repartitionByRange(n, *keys, "lo").sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def coverage(df: DataFrame, keys: list[str], from_col: str, to_col: str) -> DataFrame:
