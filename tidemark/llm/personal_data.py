@@ -50,7 +50,7 @@ _SHAPES: list[tuple[str, re.Pattern[str]]] = [
     ("phone", re.compile(r"00[1-9]\d{8,13}|00[1-9]\d{0,2}(?:[ ./-]\d{2,}){2,6}")),
     ("phone", re.compile(r"\(\d{2,5}\) ?\d{3,4}[ ./-]?\d{3,5}")),
     ("phone", re.compile(r"\d{3}([ .-])\d{3}\1\d{4}")),
-    ("phone", re.compile(r"0\d{2,5}[ /-]\d{3,8}(?:[ -]\d{1,6})?|0\d(?:[ .]\d{2}){4}")),
+    ("phone", re.compile(r"0\d{2,5}[ /-]\d{3,8}(?:[ -]\d{1,6})?|0\d(?:[ .]\d{2}){4}|0[1-9]\d{8,9}")),
 ]
 _LETTERED = re.compile(r"\b(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{7,8}|[A-Z]{2}\d{6,7}|[XYZ]-?\d{7}-?[A-Z])\b")
 _LABEL = re.compile(
@@ -185,6 +185,8 @@ def _names(text: str, low: str) -> list[tuple[int, int]]:
             last, end = k + 1, words[k + 1].start() + len(base[k + 1])
         elif w.start() in titled and word not in _NOT_NAMES and len(word) > 1:
             end = w.start() + len(word)
+            if k + 1 < n and glued(k, k + 1, ", ") and base[k + 1] in GIVEN_NAMES and words[k + 1].group()[0].isupper():
+                last, end = k + 1, words[k + 1].start() + len(base[k + 1])
         elif w.group()[0].isupper() and len(word) >= 4 and word not in _NOT_NAMES and k + 1 < n and len(lows[k + 1]) == 1 and words[k + 1].group().isupper() and text[w.end() : words[k + 1].start()] == ", " and text[words[k + 1].end() : words[k + 1].end() + 1] == ".":
             last, end = k + 1, words[k + 1].end() + 1
         if end is not None:
