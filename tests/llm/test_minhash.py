@@ -84,3 +84,11 @@ def test_estimate_corrects_chance_agreement():
             sig = maker.signature(maker.minima(flat, np.array([0, len(sets[0])])))
             found.append(B.estimated_similarity(sig[:1], sig[1:])[0])
         assert abs(np.mean(found) - share) < 0.08
+
+
+def test_many_copies_go_through_the_first(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(f"c{k}", text, None) for k in range(6)] + [("d", text + " more", None)]
+    got = {tuple(r) for r in B.near_duplicates(frame(spark, rows), expand=3).collect()}
+    assert got == {("c0", f"c{k}") for k in range(1, 6)} | {("c0", "d")}
+    assert B.near_duplicates(frame(spark, rows)).count() == 21

@@ -17,7 +17,7 @@ than the mean number of words over ``frequent``, which bounds the broadcast list
 A text with little else keeps all its words in a second set of bands.
 Similarity is always judged on all words.
 
-Equal texts are one class: they meet once per task, not in pairs.  A band key with
+Equal texts are one class: they meet once per task, not in pairs, and are expanded last.  A band key with
 more than ``block`` classes is cut into blocks, whose pairs of blocks are spread
 over the cluster and compared there; nothing is dropped or capped.
 
@@ -319,20 +319,33 @@ def alike_texts(sketch: DataFrame, threshold: float, bands: int, rows: int, freq
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("content", "summary"), threshold: float = 0.7, least_words: int = 12, bands: int = 32, rows: int = 4, frequent: float = 0.15
+    df: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("content", "summary"), threshold: float = 0.7, least_words: int = 12, bands: int = 32, rows: int = 4, frequent: float = 0.15, expand: int = 1000
 ) -> DataFrame:
     """``id_a`` < ``id_b`` of every two ids with alike texts in the same field.
 
-    Pairs of classes of equal texts come from :func:`alike_texts`; they, and the
-    copies within a class, are expanded to ids here because every pair is asked for.
+    Pairs of classes of equal texts come from :func:`alike_texts`; they, and the copies
+    within a class, are expanded to ids here because every pair is asked for.  A class
+    of more than ``expand`` equal texts isn't: each copy is paired with the class'
+    smallest id, which also stands for it in pairs with other texts (``text_classes``
+    has the members), so a class that holds a third of all rows gives no square of them.
     """
     sketch = materialise(sketches(df, id_col, list(text_cols), least_words))
     alike = alike_texts(sketch, threshold, bands, rows, frequent).select("text_a", "text_b")
     members = sketch.select("id", "text").distinct()
-    copies = members.groupBy("text").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text").alias("text_a"), F.col("text").alias("text_b"))
-    one = alike.unionByName(copies).join(members.select(F.col("id").alias("one"), F.col("text").alias("text_a")), "text_a")
-    two = one.join(members.select(F.col("id").alias("two"), F.col("text").alias("text_b")), "text_b").where("one <> two")
-    return two.select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b")).distinct()
+    return expand_classes(members, ["text"], alike, expand)
+
+
+def expand_classes(members: DataFrame, key: list[str], alike: DataFrame, expand: int) -> DataFrame:
+    """``id_a`` < ``id_b`` from pairs of classes (key columns with _a and _b) and the members (``id`` and key) of each class."""
+    classes = members.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    sized = members.join(classes, key, "left")
+    # who stands for a class: all its members, or the first of a large one
+    standing = sized.where(F.col("n").isNull() | (F.col("n") <= expand) | (F.col("id") == F.col("first")))
+    one, two = (standing.select(F.col("id").alias(name), *(F.col(k).alias(f"{k}_{side}") for k in key)) for name, side in (("one", "a"), ("two", "b")))
+    equal = classes.where(F.col("n") <= expand).select(*(F.col(k).alias(f"{k}_{side}") for side in "ab" for k in key))
+    pairs = alike.unionByName(equal).join(one, [f"{k}_a" for k in key]).join(two, [f"{k}_b" for k in key]).where("one <> two").select("one", "two")
+    large = sized.where((F.col("n") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("one"), F.col("id").alias("two"))
+    return pairs.unionByName(large).select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b")).distinct()
 
 
 def text_classes(
