@@ -187,3 +187,52 @@ def test_messages_of_empty_and_odd_texts(spark, at):
     got = [(r.role, r.text) for r in W.messages(df).orderBy("seq").collect()]
     assert got == [("user", "hi"), ("assistant", "yes"), ("system", "")]
     assert W.interaction_pairs(W.messages(df)).first().answer == "yes"
+
+
+def test_components_equal_union_find(spark):
+    import random
+
+    rng = random.Random(7)
+    pairs = [(f"n{rng.randrange(80):02}", f"n{rng.randrange(80):02}") for _ in range(60)] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)] + [("s", "s"), (None, "x")]
+    got = {r.id: r.component for r in L.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs[:-1]:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    assert got == {x: find(x) for x in up}
+
+
+def test_resolve_equals_brute_force(spark, at):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    rows = [(f"e{i:02}", n, rng.choice(["t", "T "]), None) for i, n in enumerate(names)] + [("x", None, "t", None)]
+    df = spark.createDataFrame(rows, "id string, name string, entity_type string, n string")
+    got = {r.new_id: (r.edits, r.id) for r in E.resolve(df, df, 2, others_only=True).collect()}
+    for i, n, _, _ in rows[:-1]:
+        near = min(((distance(n, m), j) for j, m, _, _ in rows[:-1] if j != i and distance(n, m) <= 2), default=None)
+        assert got.get(i) == near
+
+
+def test_prompts(spark):
+    from tidemark.functions.prompts import prompt
+
+    row = spark.createDataFrame([("a" * 600, None)], "l string, r string").select(prompt("link", left=F.col("l"), right=F.col("r")).alias("p")).first()
+    assert "a" * 500 in row.p and "a" * 501 not in row.p and row.p.endswith("B: ")
+    with pytest.raises(ValueError):
+        prompt("link", left=F.lit("x"))

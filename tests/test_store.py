@@ -1,7 +1,7 @@
 import pytest
 
 from tidemark.functions.models import HashingEmbedder, with_retries
-from tidemark.operators.ingest import ingest, open_store, record_access, run_cycle
+from tidemark.operators.ingest import ingest, offload, open_store, record_access, run_cycle
 from tidemark.sources.store import DuplicateKeyError
 from tidemark.streaming.events import daily_counts, ingest_stream, sessions
 from tidemark.streaming.intervals import merged_periods
@@ -81,3 +81,11 @@ def test_hooks():
     assert with_retries(flaky, sleep=waits.append) == "ok" and waits == [1.0, 2.0]
     with pytest.raises(TimeoutError):
         with_retries(lambda: (_ for _ in ()).throw(TimeoutError()), sleep=waits.append)
+
+
+def test_offload(spark, at, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("c", 1, "user: hi", 0.5), ("c", 2, "user: no", 0.4), ("c", 1, "user: hi", 0.5)], "conv_id string, seq long, content string, relevance double")
+    offload(store, rows, str(at(0)))
+    offload(store, rows, str(at(1)))
+    assert [r.content for r in store.read("episodes").collect()] == ["user: hi"]

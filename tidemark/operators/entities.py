@@ -73,3 +73,33 @@ def duplicates(df: DataFrame, id_col: str = "id") -> DataFrame:
 def newest_per(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
     """At most ``n`` rows of each key by ``order``, with ``rank``."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def resolve(new: DataFrame, known: DataFrame, most_edits: int = 1, others_only: bool = False) -> DataFrame:
+    """The known entity that each new one is: ``new_id``, ``id``, ``edits``.
+
+    Same type, equal names before similar ones, the smaller id on ties; similar means at
+    most ``most_edits`` edits.  Two names within that many edits agree in at least one of
+    ``most_edits + 1`` pieces up to a shift, so pieces are the join keys and no cross join is needed.
+    ``others_only`` leaves out matches of an id with itself.
+    """
+    pieces = most_edits + 1
+
+    def keyed(df: DataFrame, id_name: str, shifted: bool) -> DataFrame:
+        name = F.lower(F.trim("name"))
+        rows = df.where("name is not null and id is not null").select(F.col("id").alias(id_name), name.alias("n"), F.lower(F.trim("entity_type")).alias("t")).distinct()
+        size = F.length("n")
+        # piece p of a name of length L is the text from floor(p L / pieces) on; lengths may differ by the edits
+        lengths = F.explode(F.sequence(F.greatest(F.lit(0), size - most_edits), size + most_edits)) if shifted else F.explode(F.array(size))
+        rows = rows.select("*", lengths.alias("cut_for")).select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("p"))
+        begin, end = F.floor(F.col("p") * F.col("cut_for") / pieces), F.floor((F.col("p") + 1) * F.col("cut_for") / pieces)
+        rows = rows.select("*", begin.alias("begin"), (end - begin).alias("span"))
+        shifts = F.explode(F.sequence(F.lit(-most_edits), F.lit(most_edits))) if shifted else F.explode(F.array(F.lit(0)))
+        rows = rows.select("*", shifts.alias("shift")).where(F.col("begin") + F.col("shift") >= 0)
+        return rows.select(id_name, F.col("n").alias(f"n_{id_name}"), "t", "cut_for", "p", F.substring(F.col("n"), (F.col("begin") + F.col("shift") + 1).cast("int"), F.col("span").cast("int")).alias("piece")).distinct()
+
+    met = keyed(new, "new_id", True).join(keyed(known, "id", False), ["t", "cut_for", "p", "piece"]).select("new_id", "id", "n_new_id", "n_id").distinct()
+    near = met.withColumn("edits", F.levenshtein("n_new_id", "n_id", most_edits)).where("edits >= 0")
+    near = near.where("new_id <> id") if others_only else near
+    w = Window.partitionBy("new_id").orderBy("edits", "id")
+    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("new_id", "id", F.col("edits").cast("long").alias("edits"))

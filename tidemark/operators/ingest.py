@@ -84,3 +84,11 @@ def run_cycle(store: Store, now: str, window_hours: int = 1, rate: float = 0.1,
     store.delete("episodes", gone)
     row = (n_made, n_moved, report.strengthened, report.decayed, report.pruned, n_gone)
     return store.spark.createDataFrame([row], "summaries long, consolidated long, strengthened long, decayed long, links_pruned long, episodes_pruned long")
+
+
+def offload(store: Store, candidates: DataFrame, at: str, least: float = 0.5) -> int:
+    """Keeps what is evicted from working memory: candidates (``conv_id``, ``seq``, ``content``, ``relevance``) of enough relevance become episodes."""
+    key = F.sha2(F.concat_ws("\x1f", F.col("conv_id").cast("string"), F.col("seq").cast("string"), F.col("content")), 256)
+    rows = candidates.where(F.col("relevance") >= least).select(F.concat(F.lit("epi_"), key).alias("id"), "content", "relevance").dropDuplicates(["id"])
+    fresh = rows.join(store.read("episodes").select("id"), "id", "left_anti")
+    return store.append("episodes", fresh.select("id", F.lit(0).alias("level"), "content", moment(at).alias("occurred_at"), moment(at).alias("recorded_at"), F.col("relevance").alias("salience"), F.lit(0).alias("access_count"), F.lit(5.0).alias("consolidation_strength")))

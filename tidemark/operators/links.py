@@ -106,3 +106,30 @@ def maintenance(links: DataFrame, pairs: DataFrame, rate: float = 0.1, floor: fl
         F.count("*").alias("links_before"), F.count_if("strengthened").alias("strengthened"), F.count_if("changed").alias("decayed"),
         F.count_if(F.col("weight") < threshold).alias("pruned"), F.count_if(F.col("weight") >= threshold).alias("links_after"),
     )
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """``id``, ``component`` (the smallest id it is tied to) from undirected pairs (``a``, ``b``).
+
+    Alternating large-star and small-star steps: edges are hung to ever smaller
+    neighbours until nothing moves, in about log(n) rounds, whatever the diameter.
+    Each round pre-aggregates the minimum of a node and writes its edges once.
+    """
+    edges = materialise(pairs.where("a is not null and b is not null").select("a", "b").distinct())
+    nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        tied = down.join(least, "u")
+        small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
+        fresh = materialise(small.where("u <> v").distinct())
+        moved = not fresh.exceptAll(edges).isEmpty() or not edges.exceptAll(fresh).isEmpty()
+        edges = fresh
+        if not moved:
+            break
+    hung = edges.groupBy("u").agg(F.min("v").alias("component"))
+    return nodes.join(hung, nodes["id"] == hung["u"], "left").select("id", F.coalesce("component", "id").alias("component"))

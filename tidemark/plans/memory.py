@@ -246,6 +246,15 @@ def _(s, d):
     return E.community_add(com, new).select("community_id", F.array_join("entity_ids", ",").alias("ids"))
 
 
+@query("entity_resolve", _ONE_ENTITY + """, k AS (SELECT id, lower(trim(name)) AS n, lower(trim(entity_type)) AS t FROM ent),
+m AS (SELECT a.id AS new_id, b.id, levenshtein(a.n, b.n) AS edits, row_number() OVER (PARTITION BY a.id ORDER BY levenshtein(a.n, b.n), b.id) AS rn FROM k a JOIN k b ON a.t = b.t AND a.id <> b.id WHERE abs(length(a.n) - length(b.n)) <= 1 AND levenshtein(a.n, b.n) <= 1)
+SELECT new_id, id, edits FROM m WHERE rn = 1""")
+def _(s, d):
+    one = E.unique_entities(table(s, d, "entities"))
+    # each entity against all others: an entity is not its own match
+    return E.resolve(one, one, others_only=True)
+
+
 # ---------------------------------------------------------------- episodes
 _ONE_EPISODE = "epi AS (SELECT * FROM episodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY recorded_at NULLS LAST, parent_id NULLS FIRST) = 1)"
 
@@ -379,6 +388,12 @@ def _(s, d):
     return L.neighbourhood(L.upserted(table(s, d, "episode_links")), _starts(s, d), 2)
 
 
+@query("link_components")
+def _(s, d):
+    links = L.upserted(table(s, d, "episode_links")).where("weight >= 0.9")
+    return L.components(links.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+
+
 @query("link_decay", f"WITH {_ONE_LINK} SELECT id, round(greatest(0.1::DOUBLE, weight * 0.9::DOUBLE), 9) AS weight FROM lnk")
 def _(s, d):
     return L.decayed(L.upserted(table(s, d, "episode_links"))).select("id", F.round("weight", 9).alias("weight"))

@@ -35,14 +35,14 @@ class Store:
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _manifest(self, table: str) -> dict | None:
-        path = self._path(f"{table}/_manifest.json")
+        path = self._path(f"{table}/manifest.json")
         if not self._fs().exists(path):
             return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/{table}/_manifest.json").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/{table}/manifest.json").collect()))
 
     def _commit(self, table: str, manifest: dict) -> None:
         fs = self._fs()
-        temp, final = self._path(f"{table}/_manifest.{time.time_ns()}.tmp"), self._path(f"{table}/_manifest.json")
+        temp, final = self._path(f"{table}/manifest.{time.time_ns()}.tmp"), self._path(f"{table}/manifest.json")
         out = fs.create(temp, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
