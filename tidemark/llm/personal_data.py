@@ -56,7 +56,9 @@ _LETTERED = re.compile(r"\b(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{7,8}|
 _LABEL = re.compile(
     r"(?:passport|social security|ssn|national insurance|\bni\b|\bnino\b|tax|id card|identity|\bid\b|\bdni\b|\bnif\b|\bnie\b|ausweis|steuer)[\w .]{0,24}?(?:no\.?|number|id|card|nr\.?)?\s*[:#]?\s*$", re.I
 )
-_NO_ID = re.compile(r"(?:part|order|ticket|item|invoice|article|model|serial|version|lot|batch|sku|ref|case|job)s?\b[\w .:#]{0,26}$", re.I)
+_NO_ID = re.compile(
+    r"\b(?:part|order|ticket|item|invoice|article|model|serial|version|lot|batch|sku|ref|case|job)s?\b(?:\W*|(?:\W+\w+)?\W+(?:no|number|nr|num|code)\W*)$", re.I
+)
 _STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Hill|Terrace|Drive|Square|Place|Crescent|Gardens|Boulevard|Blvd|Grove|Mews)"
 _ADDRESSES = [
     re.compile(r"(?<![\w.,-])\d{1,4}[a-z]?,? (?!(?:of|and|for|the|on|at|in|to|with)\b)[^\W\d_]{4,}(?: [^\W\d_]{4,})? %s\b\.?(?:, [A-Z][^\W\d_]{3,})?" % _STREET, re.I),
