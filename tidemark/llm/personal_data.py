@@ -59,6 +59,7 @@ _LABEL = re.compile(
 _NO_ID = re.compile(
     r"\b(?:part|order|ticket|item|invoice|article|model|serial|version|lot|batch|sku|ref|case|job)s?\b(?:\W*|(?:\W+\w+)?\W+(?:no|number|nr|num|code)\W*)$", re.I
 )
+_SOME_NUMBER = re.compile(r"\bnum\w{0,4}\W+$|\bno\.?\W+(?:\w+\W+)?$", re.I)
 _STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Hill|Terrace|Drive|Square|Place|Crescent|Gardens|Boulevard|Blvd|Grove|Mews)"
 _ADDRESSES = [
     re.compile(r"(?<![\w.,-])\d{1,4}[a-z]?,? (?!(?:of|and|for|the|on|at|in|to|with)\b)[^\W\d_]{4,}(?: [^\W\d_]{4,})? %s\b\.?(?:, [A-Z][^\W\d_]{3,})?" % _STREET, re.I),
@@ -232,6 +233,8 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
                 ahead = plain[max(0, a - 40) : a]
                 if piece[0].isdigit() and _NO_ID.search(ahead):
                     break
+                if kind == "id_number" and _SOME_NUMBER.search(ahead) and not _LABEL.search(ahead):
+                    break
                 if kind == "id_number" and re.fullmatch(r"\d{11}", hit.group()) and not _LABEL.search(ahead):
                     continue
                 (found if kind == "id_number" else phones).append((a, a + hit.end(), kind))
