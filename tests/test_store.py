@@ -89,3 +89,16 @@ def test_offload(spark, at, tmp_path):
     offload(store, rows, str(at(0)))
     offload(store, rows, str(at(1)))
     assert [r.content for r in store.read("episodes").collect()] == ["user: hi"]
+
+
+def test_intermediate_tables_are_cleared(spark):
+    from tidemark.sources.tables import clear, materialise, release
+
+    one, two = materialise(spark.range(3).toDF("id")), materialise(spark.range(4).toDF("id"))
+    assert one.count() == 3 and two.count() == 4
+    release(one)
+    clear(spark)
+    path = two._tidemark_path.removeprefix("file://")
+    import os
+
+    assert not os.path.exists(path)

@@ -43,6 +43,7 @@ def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     atexit.register(_drop_local, path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
@@ -52,9 +53,22 @@ def release(df: DataFrame) -> None:
     """Delete the files behind a frame that :func:`materialise` returned."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table this process has written; results that still read them must be consumed before."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+#: Paths of the intermediate tables of this process.
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _drop_local(path: str) -> None:
