@@ -144,6 +144,14 @@ def test_leaks_through_breaks_adverts_and_misreadings(spark):
     assert PI.leaked_passages(df.limit(0), items).count() == 0 == PI.leaked_passages(df, items.limit(0)).count()
 
 
+def test_a_passage_beyond_a_break_on_the_same_offset():
+    item = words(random.Random(8), 40)
+    seen = [*item[:8], "qqqqqqqqqqqqqqqqqqqq", "qqqqqqqqqqqqqqqqqqqq", *item[10:]]  # two neighbours misread beyond recognition
+    page = PI.Page(seen, [k // 6 for k in range(len(seen))])
+    assert page.longest_passage(item, [(3, 3)], 20) == 8
+    assert page.longest_passage(item, [(3, 3), (15, 15)], 20) >= 20
+
+
 def test_spam_kinds_and_their_neighbours(spark):
     ok = "The council of Markil was delayed before a large gathering, and the\nlarge school at Wicklibridge remains as it was in spite of the\nweather, and 200 persons attended during the past fortnight."
     pages = {

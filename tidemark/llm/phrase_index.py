@@ -240,7 +240,7 @@ def candidates(shards: DataFrame, anchors: list[tuple], n_pages: int, id_type: s
     ``anchors`` are rows (item_id, at, term, df).  Words as rare as to stand in one page
     of ``n_pages`` weigh log2(n_pages); chance is taken to be beaten by 1.2 times that
     close together, or 1.6 times within the reach of an advert.  ``hits`` lists the
-    rarest meeting words first; any one of them suffices to walk the whole passage.
+    rarest meeting words first; each is walked from, as a walk ends at the first break.
     """
     items = sorted({a[0] for a in anchors})
     number = {item: k for k, item in enumerate(items)}
@@ -422,15 +422,18 @@ class Page:
         self.ahead, self.back = Passage(words, lines), None
 
     def longest_passage(self, item: list[str], hits: list[tuple[int, int]], enough: int) -> int:
-        """The most consecutive item words around any of the shared places (pos, at)."""
+        """The most consecutive item words around any of the shared places (pos, at).
+
+        Every place is walked from: a walk that stopped short says nothing of the places
+        beyond its stop, though they share its offset.
+        """
         ahead, words = self.ahead, self.words
         ahead.item = item
         backwards = None
-        best, tried = 0, set()
+        best = 0
         for pos, at in hits:
-            if pos >= len(words) or (pos - at) in tried or not ahead.together(pos, at):
+            if pos >= len(words) or not ahead.together(pos, at):
                 continue
-            tried.add(pos - at)
             right = ahead.walk(pos, at)
             left = 0
             if at and right < enough:
