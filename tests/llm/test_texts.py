@@ -152,6 +152,16 @@ def test_a_passage_beyond_a_break_on_the_same_offset():
     assert page.longest_passage(item, [(3, 3), (15, 15)], 20) >= 20
 
 
+@pytest.mark.parametrize("n_docs", [1 << 10, 1 << 20])
+def test_a_candidate_does_not_depend_on_the_number_of_pages(spark, n_docs):
+    n = 4
+    shard = PI.index_shards(spark.createDataFrame([(1, "alpha bravo gamma delta")], "doc_id long, text string"), "doc_id", "text", None)
+    folder = PI.Folder()
+    terms = [int(PI.np.uint32(folder[w][1]).view(PI.np.int32)) for w in ("alpha", "bravo", "gamma", "delta")]
+    anchors = [(7, k, term, n_docs >> n) for k, term in enumerate(terms)]  # each in 1 of 16 pages: 16 bits in all
+    assert [(r.doc_id, r.item_id) for r in PI.candidates(shard, anchors, n_docs, "bigint", "bigint").collect()] == [(1, 7)]
+
+
 def test_spam_kinds_and_their_neighbours(spark):
     ok = "The council of Markil was delayed before a large gathering, and the\nlarge school at Wicklibridge remains as it was in spite of the\nweather, and 200 persons attended during the past fortnight."
     pages = {

@@ -46,6 +46,13 @@ _CONFUSED = ["oce0", "il1j|!", "tfs5", "nuv", "bh8", "gq9"]
 _FOLD = {ord(c): group[0] for group in _CONFUSED for c in group}
 #: How far the page may run ahead of the item between two anchors: the words of an advert set in between.
 NEAR = 60
+#: Rarity (bits: minus log2 of the share of pages a word stands in) that words close together, or within
+#: the reach of an advert, need between them; fixed, so that a passage is found in a collection of any size.
+CLOSE_BITS, APART_BITS = 12.0, 16.0
+#: A smaller collection is taken to have so many pages, as shares of few pages say nothing of rarity.
+LEAST_PAGES = 1024
+#: Most postings intersected at once.
+_SLICE = 2_000_000
 #: Most item words whose rare terms are sent to the shards at once.
 BLOCK = 1_000_000
 #: Words that stand together around a shared rare word before a walk over adverts is tried from it.
@@ -237,39 +244,59 @@ def _near_offsets(pair: np.ndarray, offset: np.ndarray, at: np.ndarray, rarity:
 def candidates(shards: DataFrame, anchors: list[tuple], n_pages: int, id_type: str, item_type: str) -> DataFrame:
     """``doc_id``, ``item_id`` and ``hits`` (place in page, place in item) where rare terms meet near one offset.
 
-    ``anchors`` are rows (item_id, at, term, df).  Words as rare as to stand in one page
-    of ``n_pages`` weigh log2(n_pages); chance is taken to be beaten by 1.2 times that
-    close together, or 1.6 times within the reach of an advert.  ``hits`` lists the
-    rarest meeting words first; each is walked from, as a walk ends at the first break.
+    ``anchors`` are rows (item_id, at, term, df).  A word weighs the bits of its share of
+    the ``n_pages`` pages; chance is taken to be beaten by ``CLOSE_BITS`` close together,
+    or ``APART_BITS`` within the reach of an advert.  ``hits`` lists the rarest meeting
+    words first; each is walked from, as a walk ends at the first break.
     """
+    anchors = sorted(anchors, key=lambda a: a[0])
     items = sorted({a[0] for a in anchors})
     number = {item: k for k, item in enumerate(items)}
     own = np.array([number[a[0]] for a in anchors], np.int64)
     place = np.array([a[1] for a in anchors], np.int64)
     term = np.array([a[2] for a in anchors], np.int64).astype(np.int32).view(np.uint32)
-    bits = np.log2(max(2, n_pages))
-    weight = np.array([bits - np.log2(a[3]) for a in anchors], float)
+    weight = np.array([np.log2(max(n_pages, LEAST_PAGES) / a[3]) for a in anchors], float)
+    owner = np.searchsorted(own, np.arange(len(items) + 1))  # an item's first anchor
+
+    def slices(count: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of whole items with at most ``_SLICE`` postings, or one item with more."""
+        upto = np.concatenate([[0], np.cumsum(count)])[owner]
+        k = 0
+        while k < len(items):
+            j = max(k + 1, int(np.searchsorted(upto, upto[k] + _SLICE, side="right")) - 1)
+            yield k, j
+            k = j
+
+    def meet(all_docs: np.ndarray, all_pos: np.ndarray, n_docs: int, start: np.ndarray, count: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pair, place in item and place in page of the words that meet in candidates among items lo to hi."""
+        first, last = owner[lo], owner[hi]
+        start, count = start[first:last], count[first:last]
+        anchor = np.repeat(np.arange(first, last), count)
+        posting = np.arange(len(anchor)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+        pair = all_docs[posting].astype(np.int64) * (hi - lo) + (own[anchor] - lo)
+        # a pair whose words are not rare enough together, wherever they stand, is out
+        if n_docs * (hi - lo) <= 4 * _SLICE:
+            use = (np.bincount(pair, weights=weight[anchor], minlength=1) >= CLOSE_BITS)[pair]
+        else:
+            some, back = np.unique(pair, return_inverse=True)
+            use = (np.bincount(back, weights=weight[anchor], minlength=len(some)) >= CLOSE_BITS)[back] if len(some) else np.zeros(0, bool)
+        anchor, posting, pair = anchor[use], posting[use], pair[use]
+        pos = all_pos[posting].astype(np.int64)
+        at, offset = place[anchor], pos - place[anchor] + (1 << 20)
+        close = _near_offsets(pair, offset, at, weight[anchor], 4, CLOSE_BITS)
+        apart = _near_offsets(pair, offset, at, weight[anchor], NEAR, APART_BITS)
+        kept = np.isin(pair, np.union1d(close, apart))
+        order = np.lexsort((pos[kept], -weight[anchor][kept], pair[kept]))
+        p = pair[kept][order]
+        return p // (hi - lo) * len(items) + p % (hi - lo) + lo, at[kept][order], pos[kept][order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 start, count, _ = _posting_ranges(row, term)
-                anchor = np.repeat(np.arange(len(term)), count)
-                posting = np.arange(len(anchor)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-                doc_at = np.frombuffer(row["doc_at"], np.int32)[posting].astype(np.int64)
-                pos = np.frombuffer(row["pos"], np.int32)[posting].astype(np.int64)
-                pair = doc_at * len(items) + own[anchor]
-                # a pair whose words are not rare enough together, wherever they stand, is out
-                some, back = np.unique(pair, return_inverse=True)
-                rich = np.bincount(back, weights=weight[anchor], minlength=len(some)) >= 1.2 * bits
-                use = rich[back] if len(some) else np.zeros(0, bool)
-                anchor, pair, pos = anchor[use], pair[use], pos[use]
-                at, offset = place[anchor], pos - place[anchor] + (1 << 20)
-                close = _near_offsets(pair, offset, at, weight[anchor], 4, 1.2 * bits)
-                apart = _near_offsets(pair, offset, at, weight[anchor], NEAR, 1.6 * bits)
-                kept = np.isin(pair, np.union1d(close, apart))
-                order = np.lexsort((pos[kept], -weight[anchor][kept], pair[kept]))
-                p, a, q = pair[kept][order], at[kept][order], pos[kept][order]
+                all_docs, all_pos = np.frombuffer(row["doc_at"], np.int32), np.frombuffer(row["pos"], np.int32)
+                parts = [meet(all_docs, all_pos, len(row["docs"]), start, count, lo, hi) for lo, hi in slices(count)]
+                p, a, q = (np.concatenate([x[k] for x in parts] or [np.zeros(0, np.int64)]) for k in range(3))
                 heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, int)
                 ends = np.append(heads[1:], len(p))[: len(heads)]
                 docs = row["docs"]
@@ -333,6 +360,7 @@ class Passage:
 
     def __init__(self, words: list[str], lines: list[int], item: list[str] | None = None) -> None:
         self.words, self.item = words, item or []
+        self.ended: dict[tuple[int, int], int] = {}  # where in the item walks ended that stepped on a place
         n = len(words)
         self.line_start = [i for i in range(n) if i == 0 or lines[i] != lines[i - 1]]
         self.next_line = [0] * n  # index into line_start of the line after a word's own
@@ -386,8 +414,12 @@ class Passage:
     def walk(self, p: int, i: int) -> int:
         """How many item words from i on stand in the page from p on, in order."""
         words, item, began = self.words, self.item, i
-        starts = self.line_start
+        starts, passed = self.line_start, []
         while i < len(item) and p < len(words):
+            if (p, i) in self.ended:
+                i = self.ended[p, i]
+                break
+            passed.append((p, i))
             step = self._at(p, i)
             if step is not None:
                 p, i = p + step[0], i + step[1]
@@ -411,6 +443,8 @@ class Passage:
             if moved is None:
                 break
             p, i = moved
+        for place in passed:
+            self.ended[place] = i
         return i - began
 
 
@@ -428,7 +462,7 @@ class Page:
         beyond its stop, though they share its offset.
         """
         ahead, words = self.ahead, self.words
-        ahead.item = item
+        ahead.item, ahead.ended = item, {}
         backwards = None
         best = 0
         for pos, at in hits:
@@ -441,6 +475,7 @@ class Page:
                     self.back = Passage([w[::-1] for w in reversed(words)], list(reversed(self.lines)))
                 if backwards is None:
                     backwards = self.back.item = [w[::-1] for w in reversed(item)]
+                    self.back.ended = {}
                 left = self.back.walk(len(words) - pos, len(item) - at)
             best = max(best, left + right)
             if best >= enough:
