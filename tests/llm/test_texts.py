@@ -162,6 +162,14 @@ def test_a_candidate_does_not_depend_on_the_number_of_pages(spark, n_docs):
     assert [(r.doc_id, r.item_id) for r in PI.candidates(shard, anchors, n_docs, "bigint", "bigint").collect()] == [(1, 7)]
 
 
+def test_words_of_no_page_take_no_anchor_and_a_window_has_enough(spark):
+    terms = spark.createDataFrame([(1, k, k) for k in range(20)], "item_id int, at int, term int")
+    known = spark.createDataFrame([(k, 250) for k in range(6, 20)], "term int, df long")  # 6 words stand in no page; 2 bits each
+    assert {r.at for r in PI.rare_anchors(terms, known, 20, 5, 1000).collect()} == set(range(6, 13))  # 6 for 12 bits, one more
+    rare = known.withColumn("df", known.df - 249)
+    assert {r.at for r in PI.rare_anchors(terms, rare, 20, 5, 1000).collect()} == set(range(6, 11))
+
+
 def test_spam_kinds_and_their_neighbours(spark):
     ok = "The council of Markil was delayed before a large gathering, and the\nlarge school at Wicklibridge remains as it was in spite of the\nweather, and 200 persons attended during the past fortnight."
     pages = {

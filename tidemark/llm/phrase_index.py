@@ -214,14 +214,22 @@ def document_frequency(shards: DataFrame, asked: list[int]) -> DataFrame:
     return shards.select("terms", "counts", "doc_at").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def rare_anchors(terms: DataFrame, frequency: DataFrame, least_words: int, per_window: int) -> DataFrame:
-    """The items' words that are among the ``per_window`` rarest of some window of ``least_words`` words, with ``df``."""
-    known = terms.join(frequency, "term", "left").select("item_id", "at", "term", F.coalesce("df", F.lit(0)).alias("df"))
+def rare_anchors(terms: DataFrame, frequency: DataFrame, least_words: int, per_window: int, n_pages: int) -> DataFrame:
+    """The items' words that anchor some window of ``least_words`` words, with ``df``.
+
+    Of the words that stand in the pages at all, a window takes its rarest: ``per_window``,
+    and more until ``CLOSE_BITS`` are reached without its rarest, or until it has no more.
+    """
+    known = terms.join(frequency, "term", "left").select("item_id", "at", "term", "df")
     starts = known.select("item_id", F.explode(F.sequence(F.col("at") - least_words + 1, F.col("at"))).alias("window"), "at", "term", "df").where("window >= 0")
     length = terms.groupBy("item_id").agg((F.max("at") + 1).alias("length"))
-    whole = starts.join(length, "item_id").where(F.col("window") + least_words <= F.col("length"))
-    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "window").orderBy("df", "at")))
-    return ranked.where((F.col("rank") <= per_window) & (F.col("df") > 0)).select("item_id", "at", "term", "df").distinct()
+    whole = starts.join(length, "item_id").where((F.col("window") + least_words <= F.col("length")) & (F.col("df") > 0))
+    by_rarity = Window.partitionBy("item_id", "window").orderBy("df", "at")
+    ranked = whole.withColumn("rank", F.row_number().over(by_rarity)).withColumn("bits", F.log2(F.lit(float(max(n_pages, LEAST_PAGES))) / F.col("df")))
+    before = by_rarity.rowsBetween(Window.unboundedPreceding, -1)
+    others = F.coalesce(F.sum(F.when(F.col("rank") > 1, F.col("bits"))).over(before), F.lit(0.0))
+    ranked = ranked.withColumn("short", others < CLOSE_BITS)
+    return ranked.where((F.col("rank") <= per_window) | F.col("short")).select("item_id", "at", "term", "df").distinct()
 
 
 def _near_offsets(pair: np.ndarray, offset: np.ndarray, at: np.ndarray, rarity: np.ndarray, span: int, least: float) -> np.ndarray:
@@ -527,7 +535,7 @@ def leaked_passages(
     for block in range(n_blocks):
         some = terms.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block) if n_blocks > 1 else terms
         asked = [r.term for r in some.select("term").distinct().collect()]  # at most about BLOCK terms
-        anchors = [tuple(r) for r in rare_anchors(some, document_frequency(shards, asked), least_words, per_window).select("item_id", "at", "term", "df").collect()]
+        anchors = [tuple(r) for r in rare_anchors(some, document_frequency(shards, asked), least_words, per_window, n_pages).select("item_id", "at", "term", "df").collect()]
         part = candidates(shards, anchors, n_pages, dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id])
         found = found.unionByName(part) if found is not None else part
     found = materialise(found)
