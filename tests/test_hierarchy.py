@@ -63,3 +63,10 @@ def test_paths_and_descendants(spark):
 
 def test_empty(spark):
     assert hierarchy(frame(spark, [])).count() == 0
+
+
+def test_the_walk_goes_on_while_it_pays(spark):
+    rows = [("n0", None)] + [(f"n{i}", f"n{i - 1}") for i in range(1, 20)]
+    check(spark, rows)
+    check(spark, rows, least_gain=2.0)
+    check(spark, rows + [("l0", "l1"), ("l1", "l0")], least_gain=0.0, frontier_levels=50)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +237,18 @@ def test_prompts(spark):
     assert "a" * 500 in row.p and "a" * 501 not in row.p and row.p.endswith("B: ")
     with pytest.raises(ValueError):
         prompt("link", left=F.lit("x"))
+
+
+def test_overlapping_conflicts_see_every_other_object(spark, at):
+    def brute(rows):
+        order = sorted(rows, key=lambda r: (r["valid_from"] or at(-9999), r["valid_to"] or at(9999), r["id"]))
+        return sum(any(e["object_value"] != f["object_value"] and (e["valid_to"] or at(9999)) > (f["valid_from"] or at(-9999)) for e in order[:k]) for k, f in enumerate(order))
+
+    one = [("A", at(0), at(100)), ("B", at(10), at(50)), ("A", at(20), at(30))]
+    rng = random.Random(4)
+    many = [(rng.choice("ABC"), rng.choice([None, *map(at, range(0, 60, 3))]), rng.choice([None, *map(at, range(60, 90, 3))]) if rng.random() < 0.3 else at(60 + rng.randrange(40))) for _ in range(30)]
+    short = [(rng.choice("ABC"), at(a := rng.randrange(40)), at(a + 1 + rng.randrange(9))) for _ in range(40)]
+    for n, case in enumerate((one, many, short)):
+        rows = [{"id": f"f{n}-{k}", "subject_id": "s", "predicate": "p", "object_value": o, "valid_from": lo, "valid_to": hi, "recorded_at": at(0)} for k, (o, lo, hi) in enumerate(case)]
+        assert [r.n_facts for r in T.fact_conflicts(facts(spark, rows), require_overlap=True).collect()] == [brute(rows)]
+    assert brute([dict(zip(("object_value", "valid_from", "valid_to"), r), id=str(k)) for k, r in enumerate(one)]) == 2

@@ -1,10 +1,11 @@
 """Parent-child rows to full hierarchies, with loops reported.
 
 From the roots, level-wise frontier joins extend root, depth and path one level
-at a time; nodes are reached once, as each has one parent.  What no frontier
-reached lies on a loop, hangs below one, or is deeper than ``frontier_levels``:
-the rest, usually small, is finished by jumps that double their length, so a
-chain of a million levels or a loop over all rows takes some twenty joins.
+at a time; nodes are reached once, as each has one parent.  The walk goes on while
+a level reaches at least ``least_gain`` of what is left (or to ``frontier_levels``).  What no frontier reached
+then lies on a loop, hangs below one, or on a thin chain far down: the rest is
+finished by jumps that grow fourfold, so a chain of a million levels or a
+loop over all rows takes some ten rounds.  Either way gives the same rows.
 Ancestor pairs are the exploded paths.
 
 Defined results
@@ -31,7 +32,7 @@ def parent_edges(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id
     return rows.groupBy("id").agg(F.min("parent").alias("parent"))
 
 
-def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", with_paths: bool = False, frontier_levels: int = 12) -> DataFrame:
+def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", with_paths: bool = False, frontier_levels: int | None = None, least_gain: float = 0.02) -> DataFrame:
     """``id``, ``parent``, ``root_id``, ``depth``, ``state`` (root, tree, orphan, cycle, below) of each id.
 
     ``with_paths`` adds ``path``: the ids from the root to the node (empty for loops).
@@ -47,29 +48,35 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
 
     kept = ["id", "root_id", "path"] if with_paths else ["id", "root_id"]
     frontier, rest, fresh = reached[0].select(*kept), inner, None
-    for level in range(1, frontier_levels + 1):
+    left, level = inner.count(), 0
+    while left:
+        level += 1
         grown = [F.concat("up.path", F.array("e.id")).alias("path")] if with_paths else []
         step = materialise(
             rest.alias("e").join(frontier.alias("up"), F.col("e.parent") == F.col("up.id"))
             .select("e.id", "e.parent", "up.root_id", F.lit(level).cast("long").alias("depth"), F.lit("tree").alias("state"), *grown)
         )
-        if step.isEmpty():
+        found = step.count()
+        if found:
+            reached.append(step)
+            frontier = step.select(*kept)
+            fresh = fresh.unionByName(step.select("id")) if fresh is not None else step.select("id")
+        left -= found
+        if not found or found < least_gain * left or level == frontier_levels:
             break
-        reached.append(step)
-        frontier = step.select(*kept)
-        fresh = fresh.unionByName(step.select("id")) if fresh is not None else step.select("id")
         if level + 1 & level == 0:  # at 1, 3, 7, ...: shrink what later levels scan
             rest, fresh = materialise(rest.join(fresh, "id", "left_anti")), None
     so_far = reached[0]
     for r in reached[1:]:
         so_far = so_far.unionByName(r)
-    rest = materialise(rest.join(so_far.select("id"), "id", "left_anti"))
-    n_rest = rest.count()
-    return so_far.unionByName(_jump(rest, so_far, n_rest, with_paths)) if n_rest else so_far
+    if not left:
+        return so_far
+    rest = materialise(rest.join(fresh, "id", "left_anti") if fresh is not None else rest)
+    return so_far.unionByName(_jump(rest, so_far, left, with_paths))
 
 
 def _jump(rest: DataFrame, reached: DataFrame, n_rest: int, with_paths: bool) -> DataFrame:
-    """Finishes the unreached nodes by doubling jumps along their parents."""
+    """Finishes the unreached nodes by ever longer jumps along their parents."""
     cols = ["root_id", "depth"] + (["path"] if with_paths else [])
     land = reached.select(F.col("id").alias("parent"), *(F.col(c).alias(f"at_{c}") for c in cols))
     # landed: the ancestor ``anc`` lies in the reached part; steps: how far up it is
@@ -77,10 +84,13 @@ def _jump(rest: DataFrame, reached: DataFrame, n_rest: int, with_paths: bool) ->
     state, span = materialise(state), 1
     while span <= n_rest:
         far = state.select(F.col("id").alias("anc"), F.col("anc").alias("next"), F.col("steps").alias("more"), F.col("landed").alias("next_landed"))
-        moved = state.where("not landed").join(far, "anc", "left").select("id", "parent", F.coalesce("next", "anc").alias("anc"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("next_landed", F.lit(False)).alias("landed"))
+        moved = state.where("not landed")
+        for _ in range(3):  # three jumps along one written table make the next one four times as long
+            landed = F.col("landed") | F.coalesce("next_landed", F.lit(False))
+            moved = moved.join(far, "anc", "left").select("id", "parent", F.coalesce("next", "anc").alias("anc"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), landed.alias("landed"))
         fresh = materialise(state.where("landed").unionByName(moved))
         release(state)
-        state, span = fresh, span * 2
+        state, span = fresh, span * 4
     # after as many steps as there are nodes, whoever has not landed stands on a loop
     loop = state.where("not landed").select(F.col("anc").alias("id")).distinct().withColumn("on_loop", F.lit(True))
     loops = state.where("not landed").join(loop, "id", "left").select(

@@ -111,7 +111,8 @@ def _fragments(rows: DataFrame, keys: list[str]) -> DataFrame:
             yield out()
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartitionByRange(n, *keys, "lo").sortWithinPartitions(*keys).mapInArrow(run, schema)
+    # sorted by start as well, insertions are appends
+    return rows.repartitionByRange(n, *keys, "lo").sortWithinPartitions(*keys, "lo").mapInArrow(run, schema)
 
 
 def coverage(df: DataFrame, keys: list[str], from_col: str, to_col: str) -> DataFrame:

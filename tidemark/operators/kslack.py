@@ -24,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,13 +46,20 @@ class KSlackBuffer:
 
     ``push`` takes arrivals in arrival order and gives back the events whose
     period has passed its cut-off, sorted by (event time, id); ``flush`` gives the
-    rest.  Too late arrivals are counted and marked, never released.
+    rest.  Too late arrivals are refused: marked, never held.  A period's arrivals
+    are kept as runs in arrival order and put in event order once, on release.
+    When the clock passes the period's end plus one of ``publish_us``, the count and
+    sum of what is held of it go to ``snapshots``.
     """
 
     slack_us: int
     period_us: int = DAY_US
-    held: list[pd.DataFrame] = field(default_factory=list)
+    publish_us: tuple[int, ...] = ()
+    held: dict[int, list[pd.DataFrame]] = field(default_factory=dict)
     n_held: int = 0
+    #: (period, instant, events, sum of values in millionths) as published so far
+    snapshots: list[tuple[int, int, int, int]] = field(default_factory=list)
+    _due: list[tuple[int, int, int]] = field(default_factory=list)  # heap of (instant, period, step)
 
     def classify(self, event_us: np.ndarray, arrival_us: np.ndarray) -> np.ndarray:
         """0 in time, 1 late, 2 beyond the lateness bound."""
@@ -63,26 +71,51 @@ class KSlackBuffer:
         rows = rows.assign(outcome=self.classify(rows["event_us"].to_numpy(), rows["arrival_us"].to_numpy()))
         kept = rows[rows["outcome"] < 2]
         if len(kept):
-            self.held.append(kept)
-            self.n_held += len(kept)
-        clock = int(rows["arrival_us"].iloc[-1])
-        return self._release(clock), rows
+            period = kept["event_us"].to_numpy() // self.period_us
+            order = np.argsort(period, kind="stable")
+            kept, period = kept.iloc[order], period[order]
+            cuts = np.flatnonzero(np.diff(period)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(period)], strict=True):
+                self._hold(int(period[a]), kept.iloc[a:b])
+        return self._release(int(rows["arrival_us"].iloc[-1])), rows
 
     def flush(self) -> pd.DataFrame:
         return self._release(None)
 
+    def _hold(self, period: int, run: pd.DataFrame) -> None:
+        if period not in self.held:
+            self.held[period] = []
+            end = (period + 1) * self.period_us
+            for k, step in enumerate(self.publish_us):
+                heapq.heappush(self._due, (end + step, period, k))
+            heapq.heappush(self._due, (end + self.slack_us, period, len(self.publish_us)))
+        self.held[period].append(run)
+        self.n_held += len(run)
+
+    def _publish(self, period: int, instant: int) -> None:
+        n = micro = 0
+        for run in self.held[period]:
+            there = int(np.searchsorted(run["arrival_us"].to_numpy(), instant, side="right"))
+            n += there
+            micro += int(np.rint(np.nan_to_num(run["value"].to_numpy(dtype=float)[:there]) * 1e6).sum())
+        if n:
+            self.snapshots.append((period, instant, n, micro))
+
     def _release(self, clock: int | None) -> pd.DataFrame:
-        if not self.held:
+        out = []
+        # an arrival at an instant itself still counts for it
+        while self._due and (clock is None or self._due[0][0] < clock):
+            instant, period, step = heapq.heappop(self._due)
+            if step < len(self.publish_us):
+                self._publish(period, instant)
+                continue
+            runs = self.held.pop(period)
+            whole = pd.concat(runs, ignore_index=True) if len(runs) > 1 else runs[0]
+            self.n_held -= len(whole)
+            out.append(whole.sort_values(["event_us", "id"], kind="stable"))
+        if not out:
             return pd.DataFrame(columns=["id", "event_us", "arrival_us", "value", "outcome"])
-        buffer = pd.concat(self.held, ignore_index=True) if len(self.held) > 1 else self.held[0]
-        if clock is None:
-            ripe = np.ones(len(buffer), bool)
-        else:
-            cutoff = (buffer["event_us"].to_numpy() // self.period_us + 1) * self.period_us + self.slack_us
-            ripe = cutoff < clock  # an arrival at the cut-off itself still counts
-        out, rest = buffer[ripe], buffer[~ripe]
-        self.held, self.n_held = ([rest] if len(rest) else []), len(rest)
-        return out.sort_values(["event_us", "id"], kind="stable")
+        return pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
 
 
 def ordered_fold(released: pd.DataFrame, period_us: int) -> pd.DataFrame:
@@ -138,47 +171,41 @@ def _replay(events: DataFrame, slack_us: int, period_us: int, emit: tuple[str, .
     """Runs the buffer over every range; ``emit`` picks from cases, folds and provisional values."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buffer = KSlackBuffer(slack_us, period_us)
+        buffer = KSlackBuffer(slack_us, period_us, publish_us)
         folds: list[pd.DataFrame] = []
-        counts: dict[tuple[int, int], list[int]] = {}
 
         def out(kind: str, frame: pd.DataFrame) -> pd.DataFrame:
             whole = frame.assign(kind=kind).reindex(columns=_COLUMNS)
             return whole.astype({"kind": object, "id": object}).where(whole.notna(), None)
 
-        def released(rows: pd.DataFrame) -> None:
-            if len(rows) and "fold" in emit:
-                folds.append(ordered_fold(rows, period_us))
+        def cases(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            if "case" in emit and len(rows):
+                yield out("case", rows.assign(period=rows["event_us"] // period_us)[["id", "period", "outcome"]])
+
+        def released(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """What the buffer lets go: late events are told then, and the fold goes on in event order."""
+            if len(rows):
+                yield from cases(rows[rows["outcome"] == 1])
+                if "fold" in emit:
+                    folds.append(ordered_fold(rows, period_us))
+            if len(folds) > 1000:
+                yield out("fold", pd.concat(folds, ignore_index=True))
+                folds.clear()
+            if buffer.snapshots:
+                held = np.array(buffer.snapshots, dtype=np.int64)
+                buffer.snapshots.clear()
+                if "provisional" in emit:
+                    yield out("provisional", pd.DataFrame({"period": held[:, 0], "published_us": held[:, 1], "n_events": held[:, 2], "sum_micro": held[:, 3]}))
 
         for rows in batches:
             if not len(rows):
                 continue
             ready, seen = buffer.push(rows)
-            if "case" in emit:
-                cases = seen[seen["outcome"] > 0]
-                if len(cases):
-                    yield out("case", cases.assign(period=cases["event_us"] // period_us)[["id", "period", "outcome"]])
-            if "provisional" in emit:
-                # what the buffer holds of a period at each publishing instant
-                kept = seen[seen["outcome"] < 2]
-                period = kept["event_us"].to_numpy() // period_us
-                late_by = kept["arrival_us"].to_numpy() - (period + 1) * period_us
-                micro = np.rint(kept["value"].fillna(0).to_numpy(dtype=float) * 1e6).astype(np.int64)
-                for step in publish_us:
-                    there = late_by <= step
-                    part = pd.DataFrame({"period": period[there], "micro": micro[there]}).groupby("period")["micro"].agg(["size", "sum"])
-                    for p, n, s in part.itertuples():
-                        tally = counts.setdefault((int(p), step), [0, 0])
-                        tally[0] += int(n)
-                        tally[1] += int(s)
-            released(ready)
-        released(buffer.flush())
+            yield from cases(seen[seen["outcome"] == 2])  # refused
+            yield from released(ready)
+        yield from released(buffer.flush())
         if folds:
             yield out("fold", pd.concat(folds, ignore_index=True))
-        if counts:
-            keys = np.array(list(counts), dtype=np.int64)
-            sums = np.array(list(counts.values()), dtype=np.int64)
-            yield out("provisional", pd.DataFrame({"period": keys[:, 0], "published_us": (keys[:, 0] + 1) * period_us + keys[:, 1], "n_events": sums[:, 0], "sum_micro": sums[:, 1]}))
 
     n = shuffle_partitions(events.sparkSession)
     ranges = events.repartitionByRange(n, "event_us", "id").sortWithinPartitions("arrival_us", "id")

@@ -102,21 +102,19 @@ def fact_conflicts(facts: DataFrame, require_overlap: bool = False) -> DataFrame
 
 
 def overlapping_conflicts(facts: DataFrame) -> DataFrame:
-    """``n_facts``: live facts that conflict with the fact before them in time, on one subject and predicate.
+    """``n_facts``: live facts that conflict with one before them in time, on one subject and predicate.
 
-    In order of start, a fact conflicts if an earlier one with another object still held:
-    the latest end so far of each object is compared, by windows, without forming pairs.
+    In order of start, a fact conflicts if an earlier one with another object still held.
+    Running maxima tell, without forming pairs: the furthest end so far with its object, and
+    the furthest end of any other object.  The latter is the maximum over the lesser of each
+    fact and the furthest before it, where their objects differ.
     """
     live = latest_facts(facts).where("invalidated_at is null").where("valid_from is null or valid_to is null or valid_from < valid_to")
-    obj = F.coalesce(blank_to_null("object_id"), blank_to_null("object_value"))
+    obj = F.coalesce(F.concat(F.lit("id "), blank_to_null("object_id")), F.concat(F.lit("value "), blank_to_null("object_value")))
     low, high = F.coalesce(F.unix_micros(F.col("valid_from").cast("timestamp")), F.lit(-(2**62))), F.coalesce(F.unix_micros(F.col("valid_to").cast("timestamp")), F.lit(2**62))
     rows = live.select("id", "subject_id", "predicate", obj.alias("obj"), low.alias("lo"), high.alias("hi")).where("obj is not null")
-    key = Window.partitionBy("subject_id", "predicate").orderBy("lo", "hi", "id")
-    prior = key.rowsBetween(Window.unboundedPreceding, -1)
-    # the furthest end so far, and the furthest end of any other object than the one that has it
-    best = F.max(F.struct("hi", "obj")).over(prior)
-    with_best = rows.withColumn("best", best)
-    own = Window.partitionBy("subject_id", "predicate", "obj").orderBy("lo", "hi", "id").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = with_best.withColumn("own_hi", F.max("hi").over(own))
-    clash = (F.col("best.hi") > F.col("lo")) & (F.col("best.obj") != F.col("obj"))
-    return ahead.where(clash).groupBy("subject_id", "predicate").agg(F.count("*").alias("n_facts"))
+    prior = Window.partitionBy("subject_id", "predicate").orderBy("lo", "hi", "id").rowsBetween(Window.unboundedPreceding, -1)
+    led = rows.withColumn("best", F.max(F.struct("hi", "obj")).over(prior))
+    led = led.withColumn("lesser", F.when(F.col("best.obj") != F.col("obj"), F.least("hi", "best.hi"))).withColumn("second", F.max("lesser").over(prior))
+    rival = F.when(F.col("best.obj") != F.col("obj"), F.col("best.hi")).otherwise(F.col("second"))
+    return led.where(rival > F.col("lo")).groupBy("subject_id", "predicate").agg(F.count("*").alias("n_facts"))

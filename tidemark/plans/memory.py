@@ -115,10 +115,11 @@ def _(s, d):
 
 
 @query("fact_conflicts_overlap", _LATEST_FACTS + """,
-live AS (SELECT id, subject_id, predicate, coalesce(nullif(object_id, ''), nullif(object_value, '')) AS obj, coalesce(epoch_us(valid_from), -4611686018427387904) AS lo, coalesce(epoch_us(valid_to), 4611686018427387904) AS hi
-  FROM one WHERE invalidated_at IS NULL AND (valid_from IS NULL OR valid_to IS NULL OR valid_from < valid_to) AND obj IS NOT NULL),
-best AS (SELECT *, max({'hi': hi, 'obj': obj}) OVER (PARTITION BY subject_id, predicate ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM live)
-SELECT subject_id, predicate, count(*) AS n_facts FROM best WHERE b.hi > lo AND b.obj <> obj GROUP BY ALL""")
+live AS (SELECT id, subject_id, predicate, CASE WHEN nullif(object_id, '') IS NOT NULL THEN 'id ' || object_id ELSE 'value ' || nullif(object_value, '') END AS obj, coalesce(epoch_us(valid_from), -4611686018427387904) AS lo, coalesce(epoch_us(valid_to), 4611686018427387904) AS hi
+  FROM one WHERE invalidated_at IS NULL AND (valid_from IS NULL OR valid_to IS NULL OR valid_from < valid_to))
+SELECT subject_id, predicate, count(*) AS n_facts FROM live f WHERE EXISTS (
+  SELECT 1 FROM live e WHERE e.subject_id = f.subject_id AND e.predicate = f.predicate AND e.obj <> f.obj AND e.hi > f.lo AND (e.lo, e.hi, e.id) < (f.lo, f.hi, f.id))
+GROUP BY ALL""")
 def _(s, d):
     return T.fact_conflicts(table(s, d, "facts"), require_overlap=True)
 
