@@ -190,3 +190,83 @@ def test_spam_kinds_and_their_neighbours(spark):
     got = sorted(r.doc_id for r in LS.spam_pages(df).collect())
     assert got == sorted(["keywords", "list", "phrases", "links", "tags", "codes", "doorway", "long"])
     assert LS.spam_pages(df.limit(0)).count() == 0
+
+
+def printed(seq, width=6):
+    return [" ".join(seq[i : i + width]) for i in range(0, len(seq), width)]
+
+
+def test_leaks_across_long_adverts_and_unreadable_spots(spark):
+    rng = random.Random(12)
+    item = words(rng, 60)
+    blind = [*item[:10], "qqqqqqqqqqqqqqqqqqqq", "xxxxxxxxxxxxxxxxxxxx", *item[12:]]
+    advert = printed(words(rng, 240))  # forty lines
+    docs = [
+        (1, "\n".join(printed(blind))), (2, "\n".join([*printed(item[:14]), *advert, *printed(item[14:28])])), (3, "\n".join([*printed(item[:7]), *advert, *printed(item[7:14]), *advert, *printed(item[14:23])])),
+        (4, "\n".join([*printed(item[:14]), *advert])), *((k, "\n".join(printed(words(rng, 90)))) for k in range(5, 65)),
+    ]
+    df = spark.createDataFrame([(i, t, None) for i, t in docs], f"doc_id long, text string, line_boxes {BOX}")
+    items = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in PI.leaked_passages(df, items).collect()} == {1, 2, 3}
+
+
+def misread(rng, seq, share):
+    swap = {"e": "c", "l": "1", "i": "l", "n": "u", "o": "0", "s": "5", "t": "f", "v": "y", "a": "d", "b": "h", "g": "q", "m": "n"}
+    out = []
+    for w in seq:
+        k = rng.randrange(len(w))
+        out.append(w[:k] + swap.get(w[k], "z") + w[k + 1 :] if rng.random() < share else w)
+    return out
+
+
+def test_planted_passages_are_found(spark):
+    rng = random.Random(13)
+    known = words(rng, 3000)
+    draw = lambda n: [known[min(len(known) - 1, int(rng.expovariate(1 / 500)))] for _ in range(n)]
+    items = {100 + k: draw(70) for k in range(20)}
+    docs, planted = [], set()
+    for k in range(400):
+        seq = draw(150)
+        if k % 2 == 0:
+            own = rng.choice(list(items))
+            at, n = rng.randrange(40), rng.choice([20, 22, 25, 30])
+            passage = misread(rng, items[own][at : at + n], rng.choice([0, 0.1, 0.25]))
+            cut = rng.randrange(5, n - 5)
+            advert = draw(rng.choice([6, 60, 150])) if rng.random() < 0.4 else []
+            lines = [*printed(seq[:60]), *printed(passage[:cut]), *printed(advert), *printed(passage[cut:]), *printed(seq[60:])]
+            planted.add((k, own))
+        else:
+            lines = printed(seq)
+        docs.append((k, "\n".join(lines), None))
+    df = spark.createDataFrame(docs, f"doc_id long, text string, line_boxes {BOX}")
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in PI.leaked_passages(df, asked).collect()}
+    assert len(got & planted) >= 0.99 * len(planted) and got <= planted
+
+
+def test_edit_distance_by_bits():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            out = [i]
+            for j, y in enumerate(b, 1):
+                out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+            row = out
+        return row[-1]
+
+    rng = random.Random(2)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        assert PI._distance(a, b, 3) == min(4, plain(a, b)), (a, b)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cheap_refusals_never_refuse_what_is_the_same(seed):
+    rng = random.Random(seed)
+    for w in words(rng, 400) + ["burn", "corn", "modern", "as", "tfs5"]:
+        for v in misread(rng, [w] * 4, 1.0) + [w.replace("rn", "m"), w[1:] or "a", w + "x", w[:-1] + "rn"]:
+            if PI.same_word(w, v):
+                assert not PI._unlike(PI._record(v), PI._record(w))
+            for cut in range(1, len(v)):
+                if PI.same_word(w, v):
+                    assert not PI._unlike_joined(PI._record(v[:cut]), PI._record(v[cut:]), PI._record(w)), (w, v, cut)
