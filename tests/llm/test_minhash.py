@@ -92,3 +92,24 @@ def test_many_copies_go_through_the_first(spark):
     got = {tuple(r) for r in B.near_duplicates(frame(spark, rows), expand=3).collect()}
     assert got == {("c0", f"c{k}") for k in range(1, 6)} | {("c0", "d")}
     assert B.near_duplicates(frame(spark, rows)).count() == 21
+
+
+def test_keys_told_crowded_from_a_sample_are_dealt_into_groups(spark):
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(f"e{i:03}", " ".join([*rng.sample(base, 58), f"x{i}"]), None) for i in range(90)]
+    sketch = B.sketches(frame(spark, rows), "id", ["content", "summary"], 12)
+    assert B.crowded_keys(sketch, [], 8, 2, 90, 16, sample=90, seen=4)  # there are some
+    assert not B.crowded_keys(sketch, [], 8, 2, 90, 4096)
+    dealt = B.candidates(sketch, 8, 2, 1.0, 0.4, block=16, sample=90, seen=4)
+    whole = B.candidates(sketch, 8, 2, 1.0, 0.4)
+    a, b = ({tuple(r) for r in x.collect()} for x in (dealt, whole))
+    assert a == b and len(a) == 90 * 89 // 2
+
+
+def test_differently_written_copies_are_all_paired(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(f"c{k}", text + " " * k, None) for k in range(5)] + [(f"x{k}", text + "!", None) for k in range(4)]
+    got = {tuple(r) for r in B.near_duplicates(frame(spark, rows), expand=3).collect()}
+    apart = [f"c{k}" for k in range(5)] + ["x0"]  # the four x are one text, x0 stands for them
+    assert got == {(a, b) for a in apart for b in apart if a < b} | {("x0", f"x{k}") for k in range(1, 4)}

@@ -82,3 +82,43 @@ def test_many_equal_names_go_through_the_first(spark):
     got = links(spark, rows, expand=3)
     assert got == {("i0", f"i{k}") for k in range(1, 6)} | {("i0", "j"), ("i0", "s"), ("j", "s")}
     assert len(links(spark, rows)) == 8 * 7 // 2
+
+
+def test_no_pair_is_lost_where_few_names_are_pivots_and_cells_are_split(spark):
+    rng = random.Random(21)
+    given = ["francisco", "leonard", "nora", "omar", "noor", "nell", "ned", "ted", "len", "ben", "hana", "nadia", "marek", "emre", "greta", "peter"]
+
+    def slip(w):
+        k = rng.randrange(len(w))
+        return rng.choice([w[:k] + w[k + 1 :], w[:k] + "x" + w[k:], w[:k] + "u" + w[k + 1 :], w])
+
+    main = ["".join(rng.choice("abde") for _ in range(7)) for _ in range(12)]
+    points = {("person", slip(rng.choice(main)), slip(slip(rng.choice(given)))) for _ in range(500)}
+    points |= {("organization", slip(rng.choice(main)), " ".join(slip(w) for w in rng.sample(["brewing", "brothers", "timber", "ferry"], 2))) for _ in range(150)}
+    points |= {(space, slip(rng.choice(main)), rng.choice("abc")) for space in ("initial", "expanded") for _ in range(60)}
+    points = sorted(p for p in points if p[2])
+    keys = spark.createDataFrame(points, "space string, main string, second string")
+    # a full name and an initial are matched by initial, the other spaces by themselves
+    together = lambda a, b: a[0] == b[0] != "expanded" or {a[0], b[0]} == {"initial", "expanded"}
+    want = {(a, b) for a in points for b in points if a < b and together(a, b) and N.same_name(a, b, 2)}
+    for options in ({"n_pivots": 5}, {"n_pivots": 5, "crowd": 40, "inner": 6}, {"n_pivots": 2, "crowd": 25, "inner": 3, "block": 30}):
+        got = {((r[0], r[1], r[2]), (r[3], r[4], r[5])) for r in N.near_points(keys, 2, options.pop("block", 4000), **options).collect()}
+        assert {p for p in got if together(*p)} == want
+
+
+def test_a_split_is_taken_only_where_it_saves_work(spark):
+    rng = random.Random(5)
+    near = {("person", f"{a * 9}{b}{c}", "omar") for a in "abcdnopq" for b in "efgh" for c in "ijklm"}  # eight knots of names
+    far = {("person", "".join(rng.choice("abcdefghiklmnoprst") for _ in range(9)), "rosa") for _ in range(80)}
+    placed = N.placed_points(spark.createDataFrame(sorted(near | far), "space string, main string, second string"), 2, crowd=50, inner=8)
+    sizes = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}
+    assert sizes["person:rosa"] == 80 and "person:omar" not in sizes
+    assert sum(n * n for cell, n in sizes.items() if cell.startswith("person:omar")) < 0.5 * 160 * 160
+
+
+def test_name_classes(spark):
+    rows = [("1", "James Skindapantewrez", "person"), ("2", "Skindapantewrez, James", "person"), ("3", "James Skindapanteurez", "person"), ("4", "Nastabish Brewing", "org"), ("4", "Nastabish Brewing", "org"), ("5", None, "org")]
+    df = spark.createDataFrame([(*r, "s", "m", "t") for r in rows], SCHEMA)
+    got = {(r.id, r.kind): (r.copies, r.links) for r in N.name_classes(df).collect()}
+    assert got == {("1", "person"): (2, 1), ("2", "person"): (2, 1), ("3", "person"): (1, 1), ("4", "organization"): (1, 0)}
+    assert len({r.class_id for r in N.name_classes(df).collect()}) == 3 and N.name_classes(df.limit(0)).count() == 0

@@ -17,9 +17,12 @@ than the mean number of words over ``frequent``, which bounds the broadcast list
 A text with little else keeps all its words in a second set of bands.
 Similarity is always judged on all words.
 
-Equal texts are one class: they meet once per task, not in pairs, and are expanded last.  A band key with
-more than ``block`` classes is cut into blocks, whose pairs of blocks are spread
-over the cluster and compared there; nothing is dropped or capped.
+Equal word sets are one class: they meet once per task, not in pairs, and are expanded last.  Tasks
+that own keys are as many as their bytes ask for.  Keys so crowded that one task should not
+hold them are told from a bounded sample of the texts before anything is gathered (the sample only
+chooses the route, never the result): their entries are dealt into groups, and every two groups meet in
+a task of their own.  A crowded key that the sample missed is cut into blocks, whose pairs
+are spread over the cluster and compared there; nothing is dropped or capped.
 
 Defined results
 ---------------
@@ -46,6 +49,12 @@ WORD = re.compile(r"[^\W_]+")
 #: A band entry on its way: within a part 32 bits tell keys apart (a chance meeting only costs a comparison).
 _ENTRY = np.dtype([("key", "<u4"), ("text", "<u8"), ("sig", "<u8")])
 _FLUSH = 1_500_000  # entries held before they are handed on
+#: Bytes of entries that one task gathers.
+PART_BYTES = 16 << 20
+#: Most classes of one key compared in one task; twice the size of the groups of a crowded key.
+BLOCK = 32768
+#: Texts whose keys are counted to tell crowded keys, and how often a key must occur among them.
+SAMPLE, SEEN = 65536, 16
 
 
 def words_of(text: str) -> set[str]:
@@ -71,13 +80,15 @@ def _hash_words(words: list[str]) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text_cols: list[str], least_words: int) -> DataFrame:
-    """``id``, ``field`` (place in ``text_cols``), ``text`` (hash of the word set), ``words`` (sorted word hashes)."""
+    """``id``, ``field`` (place in ``text_cols``), ``text`` (hash of the word set), ``copy`` (hash of the text itself), ``words`` (sorted word hashes)."""
+    import xxhash
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out_id, out_field, out_words = [], [], []
+            out_id, out_field, out_copy, out_words = [], [], [], []
             for field in range(len(text_cols)):
                 for own, text in zip(ids, batch.column(1 + field).to_pylist(), strict=True):
                     if text:
@@ -85,6 +96,7 @@ def sketches(df: DataFrame, id_col: str, text_cols: list[str], least_words: int)
                         if len(words) >= least_words:
                             out_id.append(own)
                             out_field.append(field)
+                            out_copy.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
                             out_words.append(words)
             if len(known) > 1_000_000:
                 known.clear()
@@ -101,12 +113,12 @@ def sketches(df: DataFrame, id_col: str, text_cols: list[str], least_words: int)
             sums = np.add.reduceat(scrambled, offsets[:-1]) if len(out_words) else np.zeros(0, np.uint64)
             key = _mix(sums + np.array(out_field, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_id, pa.string()), pa.array(out_field, pa.int32()), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(offsets.astype(np.int32), flat.view(np.int32))],
-                names=["id", "field", "text", "words"],
+                [pa.array(out_id, pa.string()), pa.array(out_field, pa.int32()), pa.array(key.view(np.int64)), pa.array(np.array(out_copy, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets.astype(np.int32), flat.view(np.int32))],
+                names=["id", "field", "text", "copy", "words"],
             )
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), *(F.col(c).cast("string") for c in text_cols)).where("id is not null")
-    return rows.mapInArrow(run, "id string, field int, text long, words array<int>")
+    return rows.mapInArrow(run, "id string, field int, text long, copy long, words array<int>")
 
 
 def frequent_words(sketch: DataFrame, share: float) -> list[tuple[int, int]]:
@@ -165,12 +177,96 @@ def estimated_similarity(a: np.ndarray, b: np.ndarray, bits: int = 64) -> np.nda
     return 2 * agree - 1
 
 
-def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows: int, parts: int) -> DataFrame:
+class Banded:
+    """Band entries of batches of word sets; equal sets of a task count once."""
+
+    def __init__(self, common: list[tuple[int, int]], bands: int, rows: int) -> None:
+        self.maker, self.seen = Bands(bands, rows), set()
+        self.frequent = {f: np.array(sorted(w for g, w in common if g == f), np.int32).view(np.uint32) for f in {f for f, _ in common}}
+
+    def _bands(self, flat: np.ndarray, sizes: np.ndarray, text: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        full = sizes > 0
+        starts = (np.cumsum(sizes) - sizes)[full]
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        minima = self.maker.minima(flat, starts)
+        key = self.maker.keys(minima, salt[full])
+        return key.ravel(), np.tile(text[full], self.maker.bands), np.tile(self.maker.signature(minima), self.maker.bands)
+
+    def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, text and signature of each band of each text of a batch (field, text, words)."""
+        field = batch.column(0).to_numpy()
+        text = batch.column(1).to_numpy().view(np.uint64)
+        lists = batch.column(2)
+        flat = lists.flatten().to_numpy().view(np.uint32)
+        sizes = np.diff(lists.offsets.to_numpy())
+        first = np.zeros(len(text), bool)
+        for k, own in enumerate(text.tolist()):
+            if own not in self.seen:
+                first[k] = True
+                self.seen.add(own)
+        if len(self.seen) > 3_000_000:
+            self.seen.clear()
+        flat, field, text, sizes = flat[np.repeat(first, sizes)], field[first], text[first], sizes[first]
+        owner = np.repeat(np.arange(len(text)), sizes)
+        rare = np.ones(len(flat), bool)
+        for f, words in self.frequent.items():
+            rare &= ~((field[owner] == f) & np.isin(flat, words))
+        left = np.bincount(owner[rare], minlength=len(text))
+        salt = _mix(field.astype(np.uint64) + np.uint64(1))
+        made = [self._bands(flat[rare], left, text, salt)]
+        poor = left < 0.4 * sizes  # few rare words: all words, in bands of their own
+        if poor.any():
+            made.append(self._bands(flat[poor[owner]], sizes[poor], text[poor], _mix(salt[poor] + np.uint64(99))))
+        return tuple(np.concatenate([m[k] for m in made]) for k in range(3))
+
+
+def crowded_keys(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows: int, n_texts: int, block: int, sample: int = SAMPLE, seen: int = SEEN) -> dict[int, int]:
+    """Band keys that more than ``block`` texts are likely to have, with the number of groups to deal them into.
+
+    At most ``2 * sample * bands / seen`` keys, whatever the size of the collection; the texts of the sample are chosen by their hash.
+    """
+    if n_texts <= block:  # no key can be crowded
+        return {}
+    share = min(1.0, sample / n_texts)
+    some = sketch.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("field", "text", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        banded = Banded(common, bands, rows)
+        for batch in batches:
+            if batch.num_rows:
+                key, n = np.unique(banded.of(batch)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    least = max(seen, int(block * share))
+    found = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+    return {r.key & (1 << 64) - 1: max(2, -int(-r.n / share // (block // 2))) for r in found}
+
+
+def _dealt(key: np.ndarray, text: np.ndarray, sig: np.ndarray, crowded: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of crowded keys go to every pair of groups that theirs is one of, under a key made for the pair."""
+    keys, groups = crowded
+    at = np.searchsorted(keys, key)
+    at[at == len(keys)] = 0
+    hot = keys[at] == key
+    if not hot.any():
+        return key, text, sig
+    n = groups[at[hot]]
+    own = np.repeat(text[hot] % n, n.astype(np.int64))
+    other = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n.astype(np.int64)).astype(np.int64)).astype(np.uint64)
+    base = np.repeat(key[hot], n.astype(np.int64))
+    pair = _mix(base + np.uint64(0x51ED270B) * (np.minimum(own, other) << np.uint64(32) | np.maximum(own, other)) + np.uint64(1))
+    times = n.astype(np.int64)
+    return np.concatenate([key[~hot], pair]), np.concatenate([text[~hot], np.repeat(text[hot], times)]), np.concatenate([sig[~hot], np.repeat(sig[hot], times)])
+
+
+def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows: int, parts: int, crowded: dict[int, int]) -> DataFrame:
     """Packed band entries for the part that owns their key: ``part``, ``blob``."""
-    frequent = {f: np.array(sorted(w for g, w in common if g == f), np.int32).view(np.uint32) for f in {f for f, _ in common}}
+    hot = np.array(sorted(crowded), np.uint64)
+    groups = np.array([crowded[k] for k in sorted(crowded)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, held, owners, seen, n = Bands(bands, rows), [], [], set(), 0
+        banded, held, owners, n = Banded(common, bands, rows), [], [], 0
 
         def hand_on() -> pa.RecordBatch:
             whole, part = np.concatenate(held), np.concatenate(owners)
@@ -181,48 +277,17 @@ def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows:
             blobs = [x.tobytes() for x in np.split(whole, cuts)]
             return pa.RecordBatch.from_arrays([pa.array(heads.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
-        def add(flat: np.ndarray, sizes: np.ndarray, text: np.ndarray, salt: np.ndarray) -> int:
-            full = sizes > 0
-            starts = (np.cumsum(sizes) - sizes)[full]
-            if not len(starts):
-                return 0
-            minima = maker.minima(flat, starts)
-            key = maker.keys(minima, salt[full])
-            out = np.empty(key.size, _ENTRY)
-            out["key"] = key.ravel() & np.uint64(0xFFFFFFFF)
-            owners.append((key.ravel() >> np.uint64(32)) % np.uint64(parts))
-            out["text"] = np.tile(text[full], bands)
-            out["sig"] = np.tile(maker.signature(minima), bands)
-            held.append(out)
-            return len(out)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            field = batch.column(0).to_numpy()
-            text = batch.column(1).to_numpy().view(np.uint64)
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy().view(np.uint32)
-            sizes = np.diff(lists.offsets.to_numpy())
-            # equal texts of a task count once
-            first = np.zeros(len(text), bool)
-            for k, own in enumerate(text.tolist()):
-                if own not in seen:
-                    first[k] = True
-                    seen.add(own)
-            if len(seen) > 3_000_000:
-                seen.clear()
-            flat, field, text, sizes = flat[np.repeat(first, sizes)], field[first], text[first], sizes[first]
-            owner = np.repeat(np.arange(len(text)), sizes)
-            rare = np.ones(len(flat), bool)
-            for f, words in frequent.items():
-                rare &= ~((field[owner] == f) & np.isin(flat, words))
-            left = np.bincount(owner[rare], minlength=len(text))
-            salt = _mix(field.astype(np.uint64) + np.uint64(1))
-            n += add(flat[rare], left, text, salt)
-            poor = left < 0.4 * sizes  # few rare words: all words, in bands of their own
-            if poor.any():
-                n += add(flat[poor[owner]], sizes[poor], text[poor], _mix(salt[poor] + np.uint64(99)))
+            key, text, sig = banded.of(batch)
+            if len(hot):
+                key, text, sig = _dealt(key, text, sig, (hot, groups))
+            out = np.empty(len(key), _ENTRY)
+            out["key"], out["text"], out["sig"] = key & np.uint64(0xFFFFFFFF), text, sig
+            owners.append((key >> np.uint64(32)) % np.uint64(parts))
+            held.append(out)
+            n += len(out)
             if n > _FLUSH:
                 yield hand_on()
                 held.clear()
@@ -234,8 +299,8 @@ def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows:
     return sketch.select("field", "text", "words").mapInArrow(run, "part int, blob binary")
 
 
-def _compare_sorted(whole: np.ndarray, least: float, block: int) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
-    """Pairs of equal key and estimated similarity; the runs longer than ``block`` are returned instead."""
+def _compare_sorted(whole: np.ndarray, least: float, block: int, long: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Pairs of equal key and near signatures, in portions; runs longer than ``block`` are put into ``long`` instead."""
     order = np.lexsort((whole["text"], whole["key"]))
     whole = whole[order]
     fresh = np.ones(len(whole), bool)
@@ -243,10 +308,10 @@ def _compare_sorted(whole: np.ndarray, least: float, block: int) -> tuple[list[n
     whole = whole[fresh]
     bounds = np.flatnonzero(np.concatenate([[True], whole["key"][1:] != whole["key"][:-1], [True]]))
     length = np.diff(bounds)
-    long = [(int(bounds[i]), int(bounds[i + 1])) for i in np.flatnonzero(length > block)]
+    long += [whole[int(bounds[i]) : int(bounds[i + 1])] for i in np.flatnonzero(length > block)]
     use = np.repeat((length > 1) & (length <= block), length)
     kept = whole[use]
-    pairs, at = [], np.arange(len(kept))
+    pairs, n, at = [], 0, np.arange(len(kept))
     step = 1
     while len(at):
         at = at[at + step < len(kept)]
@@ -254,8 +319,12 @@ def _compare_sorted(whole: np.ndarray, least: float, block: int) -> tuple[list[n
         near = at[estimated_similarity(kept["sig"][at], kept["sig"][at + step]) >= least]
         if len(near):
             pairs.append(np.stack([kept["text"][near], kept["text"][near + step]], 1))
+            n += len(near)
+        if n > 500_000:
+            yield pairs
+            pairs, n = [], 0
         step += 1
-    return pairs, [whole[a:b] for a, b in long]
+    yield pairs
 
 
 def _pair_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
@@ -265,17 +334,21 @@ def _pair_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64)), none, none], names=["text_a", "text_b", "left", "right"])
 
 
-def candidates(sketch: DataFrame, bands: int, rows: int, frequent: float, least: float, block: int = 4096) -> DataFrame:
+def candidates(sketch: DataFrame, bands: int, rows: int, frequent: float, least: float, block: int = BLOCK, sample: int = SAMPLE, seen: int = SEEN) -> DataFrame:
     """Distinct pairs of texts (``text_a`` < ``text_b``) with an equal band key and near signatures."""
-    parts = 4 * shuffle_partitions(sketch.sparkSession)
-    packed = _entries(sketch, frequent_words(sketch, frequent), bands, rows, parts)
+    n_texts, common = sketch.count(), frequent_words(sketch, frequent)
+    crowded = crowded_keys(sketch, common, bands, rows, n_texts, block, sample, seen)
+    n_entries = n_texts * bands + sum(n * n for n in crowded.values()) * (block // 2)
+    parts = max(shuffle_partitions(sketch.sparkSession), -(-n_entries * _ENTRY.itemsize // PART_BYTES))
+    packed = _entries(sketch, common, bands, rows, parts, crowded)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(blob, _ENTRY) for batch in batches for blob in batch.column(1).to_pylist()]
         if not held:
             return
-        pairs, long = _compare_sorted(np.concatenate(held), least, block)
-        yield _pair_batch(pairs)
+        long: list[np.ndarray] = []
+        for pairs in _compare_sorted(np.concatenate(held), least, block, long):
+            yield _pair_batch(pairs)
         for run in long:  # a crowded key: every pair of its blocks becomes a task of the next stage
             cut = [run[i : i + block] for i in range(0, len(run), block)]
             for i, left in enumerate(cut):
@@ -300,7 +373,7 @@ def candidates(sketch: DataFrame, bands: int, rows: int, frequent: float, least:
                 yield _pair_batch([both[both[:, 0] != both[:, 1]]])
 
     schema = "text_a long, text_b long, left binary, right binary"
-    met = materialise(packed.repartition(parts, "part").mapInArrow(join, schema))
+    met = materialise(packed.repartitionById(parts, F.col("part")).mapInArrow(join, schema))
     crowded = met.where("left is not null").select("left", "right").repartition(parts).mapInArrow(cross, schema)
     return met.where("left is null").unionByName(crowded).select("text_a", "text_b").distinct()
 
@@ -323,29 +396,35 @@ def near_duplicates(
 ) -> DataFrame:
     """``id_a`` < ``id_b`` of every two ids with alike texts in the same field.
 
-    Pairs of classes of equal texts come from :func:`alike_texts`; they, and the copies
-    within a class, are expanded to ids here because every pair is asked for.  A class
-    of more than ``expand`` equal texts isn't: each copy is paired with the class'
-    smallest id, which also stands for it in pairs with other texts (``text_classes``
-    has the members), so a class that holds a third of all rows gives no square of them.
+    Pairs of classes of equal word sets come from :func:`alike_texts`; they, and the members
+    of a class, are expanded to ids here because every pair is asked for.  Only exact copies
+    of one text, where there are more than ``expand`` of them, are not: each is paired with
+    the smallest id among them, which also stands for them in pairs with other texts
+    (``text_classes`` has the members), so copies of a third of all rows give no square of them.
     """
     sketch = materialise(sketches(df, id_col, list(text_cols), least_words))
     alike = alike_texts(sketch, threshold, bands, rows, frequent).select("text_a", "text_b")
-    members = sketch.select("id", "text").distinct()
+    members = sketch.select("id", "text", "copy").distinct()
     return expand_classes(members, ["text"], alike, expand)
 
 
 def expand_classes(members: DataFrame, key: list[str], alike: DataFrame, expand: int) -> DataFrame:
-    """``id_a`` < ``id_b`` from pairs of classes (key columns with _a and _b) and the members (``id`` and key) of each class."""
-    classes = members.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    sized = members.join(classes, key, "left")
-    # who stands for a class: all its members, or the first of a large one
-    standing = sized.where(F.col("n").isNull() | (F.col("n") <= expand) | (F.col("id") == F.col("first")))
+    """``id_a`` < ``id_b`` from pairs of classes (key columns with _a and _b) and the members (``id``, key and ``copy``) of each class."""
+    sized = standing_ids(members, key, expand)
+    standing = sized.where("stands").drop("stands", "first").distinct()
+    classes = standing.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     one, two = (standing.select(F.col("id").alias(name), *(F.col(k).alias(f"{k}_{side}") for k in key)) for name, side in (("one", "a"), ("two", "b")))
-    equal = classes.where(F.col("n") <= expand).select(*(F.col(k).alias(f"{k}_{side}") for side in "ab" for k in key))
+    equal = classes.select(*(F.col(k).alias(f"{k}_{side}") for side in "ab" for k in key))
     pairs = alike.unionByName(equal).join(one, [f"{k}_a" for k in key]).join(two, [f"{k}_b" for k in key]).where("one <> two").select("one", "two")
-    large = sized.where((F.col("n") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("one"), F.col("id").alias("two"))
-    return pairs.unionByName(large).select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b")).distinct()
+    copies = sized.where("not stands").select(F.col("first").alias("one"), F.col("id").alias("two"))
+    return pairs.unionByName(copies).select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b")).distinct()
+
+
+def standing_ids(members: DataFrame, key: list[str], expand: int) -> DataFrame:
+    """The members with ``stands`` (false for the copies of one text beyond ``expand``, the smallest id aside) and that ``first`` id."""
+    large = members.groupBy(*key, "copy").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > expand)
+    sized = members.join(large, [*key, "copy"], "left")
+    return sized.withColumn("stands", F.col("n").isNull() | (F.col("id") == F.col("first"))).drop("n", "copy")
 
 
 def text_classes(

@@ -12,12 +12,15 @@ one of the two which is nearer to its pivot if every point is also copied to all
 pivots at most its own home distance plus ``radius`` away: with y at home in p,
 d(x, p) <= d(x, y) + d(y, p) <= radius + d(x, home of x).  Inside each cell an exact
 radius join runs on the points; two points copied from elsewhere aren't compared.
-Persons with two different known given names are different persons, so a known
-given name isn't copied to the cell of another.
 
-Cells with more than ``block`` points are cut into blocks and their pairs of blocks
-spread over the cluster; nothing is dropped.  Equal points are one point, expanded
-to ids at the end, because every pair is asked for.
+A cell with more than ``crowd`` points is split again in the same way by pivots among its
+main parts, whose distance is bounded by the radius as well, and again until it is small
+``LEVELS`` splits are done, or a split saves less than half of the pairs to compare (among names that
+all lie far apart none does).  What is still large is cut into blocks of ``block`` points, and
+the pairs of blocks are spread over the cluster; nothing is dropped.  Points of one cell are
+compared if, at each split, one of them is at home.  Equal points are one point, expanded
+to ids at the end, because every pair is asked for; of more than ``expand`` equally written
+names the smallest id stands for all (``name_classes`` has the members).
 
 A name with an initial only is linked to full names of its surname if they all are
 of one person; where several persons fit, it is linked to none of them (it can't be
@@ -36,16 +39,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bbit_minhash import expand_classes
+from tidemark.llm.bbit_minhash import expand_classes, standing_ids
 from tidemark.llm.given_names import GIVEN_NAMES
 from tidemark.llm.name_forms import ABBREVIATIONS, entity_kind, name_forms
-from tidemark.sources.tables import materialise
+from tidemark.sources.tables import materialise, shuffle_partitions
 
-#: Pivots of each space: a bounded number, whatever the size of the table.
-PIVOTS = 400
+#: Pivots of each space, and of each cell that is split: bounded numbers, whatever the size of the table.
+PIVOTS, INNER = 400, 48
+#: Most splits of a cell.
+LEVELS = 4
 _POINT = "space string, main string, second string"
 _KNOWN_WORDS = frozenset(ABBREVIATIONS.values())
 
@@ -82,51 +87,56 @@ def letters(word: str) -> int:
 
 
 def points(df: DataFrame, id_col: str, name_col: str, type_col: str) -> DataFrame:
-    """``id`` and the points of its name, distinct."""
+    """``id``, the points of its name and ``copy`` (hash of the name as written), distinct."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                (own, *form)
+                (own, *form, xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) - (1 << 63))
                 for own, name, kind in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
                 if name and (known := entity_kind(kind))
                 for form in name_forms(known, name)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(4)], names=["id", "space", "main", "second"])
+            types = [pa.string()] * 4 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["id", "space", "main", "second", "copy"])
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(name_col).cast("string").alias("name"), F.col(type_col).cast("string").alias("kind")).where("id is not null and name is not null")
-    return rows.mapInArrow(run, f"id string, {_POINT}").distinct()
-
-
-def _cells(keys: DataFrame, radius: int) -> DataFrame:
-    """The points with the cells they lie in: ``cell``, ``home``."""
+    return rows.mapInArrow(run, f"id string, {_POINT}, copy long").distinct()
+
+
+def _near(word: str, pivots: list[str], bags: np.ndarray, radius: int) -> tuple[int, list[int]]:
+    """The nearest pivot, and all pivots at most ``radius`` farther than it."""
+    # half the differing letters bound the distance from below
+    least = (np.bitwise_count(bags ^ np.uint64(letters(word))) + 1) // 2
+    home, best, found = -1, 1 << 30, []
+    for k in np.argsort(least, kind="stable").tolist():
+        if least[k] > best + radius:
+            break
+        d = edit_distance(word, pivots[k], min(best + radius, 64))
+        found.append((d, k))
+        if d < best:
+            home, best = k, d
+    return home, [k for d, k in found if d <= best + radius]
+
+
+def _cells(keys: DataFrame, radius: int, n_pivots: int) -> DataFrame:
+    """The points with the cells they lie in: ``cell``, ``home`` (1 if it is their own, else 0), ``splits`` (0)."""
     counts = keys.where("space in ('person', 'organization')").groupBy("space", "second").count()
     pivots: dict[str, list[str]] = {}
     for space in ("person", "organization"):
-        top = counts.where(F.col("space") == space).orderBy(F.desc("count"), "second").limit(PIVOTS).collect()
+        top = counts.where(F.col("space") == space).orderBy(F.desc("count"), "second").limit(n_pivots).collect()
         pivots[space] = [r.second for r in top]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], list[tuple[str, bool]]] = {}
+        known: dict[tuple[str, str], list[tuple[str, int]]] = {}
         bags = {space: np.array([letters(p) for p in own], np.uint64) for space, own in pivots.items()}
 
-        def near(space: str, second: str) -> list[tuple[str, bool]]:
+        def cells_of(space: str, second: str) -> list[tuple[str, int]]:
             if space not in pivots:  # an initial is its own cell
-                return [(f"initial:{second}", True)]
-            own = pivots[space]
-            # half the differing letters bound the distance from below
-            least = (np.bitwise_count(bags[space] ^ np.uint64(letters(second))) + 1) // 2
-            home, best = None, 1 << 30
-            found = []
-            for k in np.argsort(least, kind="stable").tolist():
-                if least[k] > best + radius:
-                    break
-                d = edit_distance(second, own[k], min(best + radius, 64))
-                found.append((d, k))
-                if d < best:
-                    home, best = k, d
-            named = space == "person" and second in GIVEN_NAMES
-            return [(f"{space}:{own[k]}", k == home) for d, k in found if d <= best + radius and (k == home or not (named and own[k] in GIVEN_NAMES))]
+                return [(f"initial:{second}", 1)]
+            home, near = _near(second, pivots[space], bags[space], radius)
+            return [(f"{space}:{pivots[space][k]}", int(k == home)) for k in near]
 
         for batch in batches:
             out = []
@@ -134,12 +144,84 @@ def _cells(keys: DataFrame, radius: int) -> DataFrame:
                 if (space, second) not in known:
                     if len(known) > 200_000:
                         known.clear()
-                    known[space, second] = near(space, second)
-                out += [(space, main, second, cell, home) for cell, home in known[space, second]]
-            types = [pa.string()] * 4 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["space", "main", "second", "cell", "home"])
+                    known[space, second] = cells_of(space, second)
+                out += [(space, main, second, cell, home, 0) for cell, home in known[space, second]]
+            yield _rows(out)
+
+    return keys.select("space", "main", "second").mapInArrow(run, _CELL)
+
+
+_CELL = f"{_POINT}, cell string, home int, splits int"
+_CELL_TYPES = [pa.string()] * 4 + [pa.int32()] * 2
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_CELL_TYPES)], names=["space", "main", "second", "cell", "home", "splits"])
+
+
+def far_apart(names: list[str], least: int, most: int) -> list[str]:
+    """Names farther than ``least`` from each other, ``most`` at most, so that a knot of like names has one pivot."""
+    out: list[str] = []
+    for name in names:
+        if len(out) == most:
+            break
+        if all(edit_distance(name, other, least) > least for other in out):
+            out.append(name)
+    return out
+
+
+def _split(cells: DataFrame, crowded: DataFrame, radius: int, n_pivots: int) -> DataFrame:
+    """The points of crowded cells in cells around pivots among the main parts; bit k of ``home`` is the k-th split's."""
+    mains = cells.join(crowded, "cell", "left_semi").select("cell", "main").distinct()
+    w = Window.partitionBy("cell").orderBy(F.xxhash64("main"), "main")
+    some = mains.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 8 * n_pivots)
 
-    return keys.select("space", "main", "second").mapInArrow(run, f"{_POINT}, cell string, home boolean")
+    @F.pandas_udf("array<string>")
+    def apart(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda names: far_apart(list(names), 2 * radius, n_pivots))
+
+    chosen = some.groupBy("cell").agg(F.sort_array(F.collect_list("main")).alias("some"))  # 8 * n_pivots at most
+    chosen = materialise(chosen.select("cell", apart("some").alias("pivots")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags: dict[str, np.ndarray] = {}
+        for batch in batches:
+            out = []
+            for space, main, second, cell, home, splits, pivots in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if cell not in bags:
+                    if len(bags) > 1000:
+                        bags.clear()
+                    bags[cell] = np.array([letters(p) for p in pivots], np.uint64)
+                own, near = _near(main, pivots, bags[cell], radius)
+                out += [(space, main, second, f"{cell}/{pivots[k]}", home | int(k == own) << splits + 1, splits + 1) for k in near]
+            yield _rows(out)
+
+    return cells.join(chosen, "cell").select("space", "main", "second", "cell", "home", "splits", "pivots").mapInArrow(run, _CELL)
+
+
+def placed_points(keys: DataFrame, radius: int, n_pivots: int = PIVOTS, crowd: int = 20_000, inner: int = INNER) -> DataFrame:
+    """The points in their cells, crowded ones split: ``cell``, ``home``, ``splits``."""
+    todo, done = materialise(_cells(keys, radius, n_pivots)), None
+
+    def put_aside(rows: DataFrame) -> None:
+        nonlocal done
+        done = rows.select(*todo.columns) if done is None else done.unionByName(rows.select(*todo.columns))
+
+    for _ in range(LEVELS):
+        sizes = todo.groupBy("cell").count().where(F.col("count") > crowd)
+        crowded = materialise(sizes.select("cell", (F.col("count") * F.col("count")).alias("pairs")))
+        if crowded.isEmpty():
+            break
+        put_aside(todo.join(crowded, "cell", "left_anti"))
+        split = materialise(_split(todo, crowded, radius, inner))
+        parent = F.expr("substring(cell, 1, length(cell) - length(regexp_extract(cell, '[^/]*$', 0)) - 1)")
+        within = split.groupBy("cell").count().groupBy(parent.alias("cell")).agg(F.sum(F.col("count") * F.col("count")).alias("left"))
+        # names that lie far from each other lie near no pivot either: a split that saves no work is not taken
+        kept = materialise(crowded.join(within, "cell").where(F.col("left") < 0.5 * F.col("pairs")).select("cell"))
+        put_aside(todo.join(crowded, "cell", "left_semi").join(kept, "cell", "left_anti"))
+        todo = split.withColumn("_up", parent).join(kept.select(F.col("cell").alias("_up")), "_up", "left_semi").select(*todo.columns)
+        todo = materialise(todo)
+    return todo if done is None else done.unionByName(todo)
 
 
 def same_name(a: tuple[str, str, str], b: tuple[str, str, str], radius: int) -> bool:
@@ -165,21 +247,25 @@ def _cell_join(radius: int):
         left = pdf[pdf["side"] != "right"].drop_duplicates(["space", "main", "second"])
         right = pdf[pdf["side"] != "left"].drop_duplicates(["space", "main", "second"])
         one_block = pdf["side"].iloc[0] == "both"
+        every = (2 << int(pdf["splits"].iloc[0])) - 1  # at each split one of the two is at home
         right = right.assign(size=right["main"].str.len()).sort_values("size", kind="stable").reset_index(drop=True)
         size = right["size"].to_numpy()
         bag = np.array([letters(m) for m in right["main"]], np.uint64)
-        home = right["home"].to_numpy(bool)
+        home = right["home"].to_numpy(np.int64)
         typed = right["space"].to_numpy() == "initial"
+        given = np.array([s in GIVEN_NAMES for s in right["second"]]) & (right["space"].to_numpy() == "person")
         rows = list(zip(right["space"], right["main"], right["second"], strict=True))
         out = []
         for *a, own in zip(left["space"], left["main"], left["second"], left["home"], strict=True):
             a = tuple(a)
             lo, hi = np.searchsorted(size, [len(a[1]) - radius, len(a[1]) + radius + 1])
             ok = np.bitwise_count(bag[lo:hi] ^ np.uint64(letters(a[1]))) <= 2 * radius
-            if not own:
-                ok &= home[lo:hi]
+            if own != every:
+                ok &= (home[lo:hi] | own) == every
             if a[0] == "expanded":
                 ok &= typed[lo:hi]
+            if not own & 1 and a[0] == "person" and a[2] in GIVEN_NAMES:
+                ok &= ~given[lo:hi]  # another known given name at home here is another person
             for k in (np.flatnonzero(ok) + lo).tolist():
                 b = rows[k]
                 if (a < b or not one_block) and a != b and same_name(a, b, radius):
@@ -189,29 +275,32 @@ def _cell_join(radius: int):
     return run
 
 
-def near_points(keys: DataFrame, radius: int, block: int) -> DataFrame:
+def near_points(keys: DataFrame, radius: int, block: int, n_pivots: int = PIVOTS, crowd: int = 20_000, inner: int = INNER) -> DataFrame:
     """Distinct pairs of points that name the same."""
-    cells = materialise(_cells(keys, radius))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    cells = materialise(placed_points(keys, radius, n_pivots, crowd, inner))
+    sizes = materialise(cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     placed = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("main", "second", "space"), F.col("blocks")).cast("int"))
     # a point of block i goes to every pair of blocks with i; almost all cells have one block
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") == F.col("other"), "both").when(F.col("block") < F.col("other"), "left").otherwise("right")
-    tasks = spread.select("space", "main", "second", "home", "cell", i.alias("i"), j.alias("j"), side.alias("side"))
+    tasks = spread.select("space", "main", "second", "home", "splits", "cell", i.alias("i"), j.alias("j"), side.alias("side"))
+    # little data, much work: as many partitions as there are for much data, and more with the pairs of blocks
+    n_pairs = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    n = max(4 * shuffle_partitions(keys.sparkSession), int(n_pairs) // 8)
     schema = "space_a string, main_a string, second_a string, space_b string, main_b string, second_b string"
-    return tasks.groupBy("cell", "i", "j").applyInPandas(_cell_join(radius), schema).distinct()
+    return tasks.repartition(n, "cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(_cell_join(radius), schema).distinct()
 
 
-def linked_names(df: DataFrame, id_col: str = "id", name_col: str = "name", type_col: str = "entity_type", radius: int = 2, block: int = 4000, expand: int = 1000) -> DataFrame:
+def linked_names(df: DataFrame, id_col: str = "id", name_col: str = "name", type_col: str = "entity_type", radius: int = 2, block: int = 4000, expand: int = 1000, pivots: int = PIVOTS) -> DataFrame:
     """``id_a`` < ``id_b`` of every two ids that name the same person, or the same organisation.
 
-    More than ``expand`` ids of one and the same point are linked through the smallest of
-    them, which also stands for them in links to other points, instead of in all pairs.
+    More than ``expand`` ids of one and the same written name are linked through the smallest of
+    them, which also stands for them in links to other names, instead of in all pairs.
     """
     forms = materialise(points(df, id_col, name_col, type_col))
     key = ["space", "main", "second"]
-    near = materialise(near_points(forms.select(*key).distinct(), radius, block))
+    near = materialise(near_points(forms.select(*key).distinct(), radius, block, pivots))
     full = near.where("space_a <> 'expanded' and space_b <> 'expanded'")
 
     # an initial meets full names: those of its own point, and near ones; all between points, not ids
@@ -226,14 +315,27 @@ def linked_names(df: DataFrame, id_col: str = "id", name_col: str = "name", type
     told = mixed.join(several, ["main_b", "second_b"], "left_anti").select(*near.columns)
     # full names of one initial are one class only for names with that initial: links among them come from their own points
     paired = expand_classes(forms.where("space <> 'expanded'"), key, full, expand)
-    short = forms.where("space = 'initial'").select(F.col("id").alias("two"), "main", "second")
-    few = standing_ids(short.withColumnRenamed("two", "id"), ["main", "second"], expand).select(F.col("id").alias("two"), F.col("main").alias("main_b"), F.col("second").alias("second_b"))
-    many = standing_ids(forms.where("space = 'expanded'").select("id", "main", "second"), ["main", "second"], expand).select(F.col("id").alias("one"), F.col("main").alias("main_a"), F.col("second").alias("second_a"))
+
+    def standing(space: str, name: str, side: str) -> DataFrame:
+        own = standing_ids(forms.where(F.col("space") == space).select("id", "main", "second", "copy"), ["main", "second"], expand).where("stands")
+        return own.select(F.col("id").alias(name), F.col("main").alias(f"main_{side}"), F.col("second").alias(f"second_{side}")).distinct()
+
+    few, many = standing("initial", "two", "b"), standing("expanded", "one", "a")
     linked = told.join(few, ["main_b", "second_b"]).join(many, ["main_a", "second_a"]).where("one <> two")
     return paired.unionByName(linked.select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b"))).distinct()
 
 
-def standing_ids(members: DataFrame, key: list[str], expand: int) -> DataFrame:
-    """The members that stand for their class: all, or the smallest id of a class larger than ``expand``."""
-    large = members.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > expand)
-    return members.join(large, key, "left").where(F.col("n").isNull() | (F.col("id") == F.col("first"))).select(*members.columns)
+def name_classes(df: DataFrame, id_col: str = "id", name_col: str = "name", type_col: str = "entity_type", radius: int = 2, block: int = 4000, pivots: int = PIVOTS) -> DataFrame:
+    """One row per id and form of its name: ``id``, ``kind``, ``class_id`` (names that are one point), ``copies``, ``links`` to other classes.
+
+    Names with an initial only are classes of their own, linked to like ones; a short form that stands for
+    several given names has a row for each.
+    """
+    forms = materialise(points(df, id_col, name_col, type_col).where("space <> 'expanded'"))
+    key = ["space", "main", "second"]
+    near = near_points(forms.select(*key).distinct(), radius, block, pivots)
+    ends = near.select(*(F.col(f"{k}_a").alias(k) for k in key)).unionByName(near.select(*(F.col(f"{k}_b").alias(k) for k in key)))
+    members = forms.select("id", *key).distinct()
+    joined = members.join(members.groupBy(*key).agg(F.count("*").alias("copies")), key).join(ends.groupBy(*key).agg(F.count("*").alias("links")), key, "left")
+    kind = F.when(F.col("space") == "organization", "organization").otherwise("person")
+    return joined.select("id", kind.alias("kind"), F.xxhash64(*key).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

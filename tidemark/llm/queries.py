@@ -24,6 +24,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_links.linked_names(table(spark, sf_dir, "entities"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_links.name_classes(table(spark, sf_dir, "entities"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_pieces(table(spark, sf_dir, "episodes"))
 
@@ -52,7 +56,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_shapes.page_shares(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_redacted": p4_redacted, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares}
 
 SQL: dict[str, str] = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
