@@ -270,3 +270,41 @@ def test_cheap_refusals_never_refuse_what_is_the_same(seed):
             for cut in range(1, len(v)):
                 if PI.same_word(w, v):
                     assert not PI._unlike_joined(PI._record(v[:cut]), PI._record(v[cut:]), PI._record(w)), (w, v, cut)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Call me on oh one two four two six eight one four two six please", [("oh one two four two six eight one four two six", "phone")]),
+    ("Tel. null eins sieben drei vier vier zwei eins null drei acht bitte", [("null eins sieben drei vier vier zwei eins null drei acht", "phone")]),
+    ("le zéro six un deux trois quatre cinq six sept huit", [("zéro six un deux trois quatre cinq six sept huit", "phone")]),
+    ("ring oh double two one six triple four nine six now", [("oh double two one six triple four nine six", "phone")]),
+    ("write to ana (at) example.org. Then wait", [("ana (at) example.org", "email")]),
+    ("ana arobase exemple point fr", [("ana arobase exemple point fr", "email")]),
+    ("We arrive at some point in May, one or two of us, at three", []),
+])
+def test_disguises_in_four_languages(text, want):
+    assert found(text) == want
+
+
+def test_names_of_no_list_by_their_context():
+    rng = random.Random(31)
+    given = ["Kwame", "Aiko", "Olena", "Siobhan", "Mohammed", "Wei", "Ingrid", "Thabo", "Zuleika", "Jürgen"]
+    family = ["Mensah", "Tanaka", "Kovalenko", "O'Brien", "Abdullahi", "Zhang", "Bergström", "Nkosi", "Haddad", "Müller"]
+    assert not {g.lower() for g in given} & PD.GIVEN_NAMES
+    said = ["My name is {}.", "Dear {}, thank you.", "Later {} said no.", "She met {} twice.", "Er heißt {} und", "I saw my friend {} there.", "Rosa and {} left."]
+    plain = ["The Harbor Timber Brothers said no.", "It lies near Port Selton in North Wexley.", "Ask the Old Mill Company about Grand Lodge.", "On Monday Morning trains said nothing.", "We saw Lake Orvel and River Tarn."]
+    right = wrong = total = 0
+    for _ in range(200):
+        name = f"{rng.choice(given)} {rng.choice(family)}"
+        text = f"{rng.choice(plain)} {rng.choice(said).format(name)} {rng.choice(plain)}"
+        names = {s for s, kind in found(text) if kind == "name"} - {"Rosa"}
+        total += 1
+        right += name in names
+        wrong += len(names - {name})
+    assert right >= 0.95 * total and wrong <= 0.02 * total
+
+
+def test_few_shapes_hold_a_spam_page():
+    share, kind, shapes = LS.spam_share("#vestry #vestryonline\n#onlinevestry #committee\n" * 6, [], [], [])
+    assert share > 0.9 and kind == "tag" and 1 <= shapes <= 2
+    assert LS.spam_share("The council of Markil was delayed before a large gathering, and the\nlarge school remains as it was.", [], [], [])[2] == 0
+    assert LS.spam_share("angebote-heute.de billig\nwww.x.example\nkauf-jetzt.co.uk\n" * 4, [], [], [])[1] == "link"

@@ -3,10 +3,10 @@
 Each line, in reading order, is reduced to a shape: how many words it has, how
 many of them are capitalised, numbers, links, hash tags, product codes or function
 words, which separators stand between them, and how many are words that the page
-repeats.  Shapes fall into a few groups, all but one of them non-sentence ones; a
-line is judged together with its neighbours, as lines cut through phrases.  A page
-is flagged when lines of the non-sentence groups hold more than half of its
-characters.
+repeats.  A line is judged together with its neighbours, as lines cut through phrases,
+and lines of one reduced shape are grouped over the page.  A page is flagged when groups of
+non-sentence shapes hold more than half of its characters and few of them (``few``)
+are enough for that half.
 
 Defined results: null, empty and blank texts are no case.  Whole texts are read,
 of any length.  Pages are judged one by one, without a shuffle; repeated rows give
@@ -40,9 +40,13 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 
-_LINK = re.compile(r"(?:https?:/?/?|www\.)\S*|\b[\w-]+(?:\.[\w-]+)+/\S*|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|example|invalid|test|info|biz)\b\S*", re.I)
+# Top-level domains, general ones in any place, national ones where the host is written in small letters.
+_GENERAL = "com|org|net|edu|gov|int|example|invalid|test|info|biz|shop|online|site"
+_NATIONAL = "de|at|ch|fr|be|lu|es|pt|it|nl|uk|ie|us|ca|au|nz|mx|ar|cl|co|pe|br|dk|se|no|fi|pl|cz|eu"
+_DOMAIN = rf"\b[\w-]+(?:\.[\w-]+)*\.(?:{_GENERAL})\b\S*|(?<![\w.])(?-i:[a-z][a-z0-9-]{{2,}}(?:\.[a-z0-9-]+)*\.(?:{_NATIONAL})(?![\w.-]))"
+_LINK = re.compile(rf"(?:https?:/?/?|www\.)\S*|\b[\w-]+(?:\.[\w-]+)+/\S*|{_DOMAIN}", re.I)
 _CODE = re.compile(r"\b[A-Z0-9]{2,4}-[\d·•*.|'~^]*\d{2,}[\d·•*.|'~^]*\b")
-_TOP_LEVEL = re.compile(r"\.(?:com|org|net|example|invalid|test|info|biz)\b", re.I)
+_TOP_LEVEL = re.compile(rf"\.(?:{_GENERAL}|{_NATIONAL})\b|\w/", re.I)
 _DASHED = re.compile(r"-[·•*.|'~^]?\d")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
@@ -67,6 +71,10 @@ class Shape:
     repeated: int
     alone: bool  # nothing but a bracketed label or a bullet
 
+    def reduced(self) -> tuple[int, ...]:
+        """The shape without its sizes: lengths, shares of capitals, separators, links, tags and codes in steps."""
+        return (min(self.words.bit_length(), 4), 3 * self.capitals // max(1, self.words), min(self.separators, 2), min(self.links, 2), min(self.tags, 2), min(self.codes, 2))
+
     def group(self) -> str:
         """The coarse shape, for grouping: what the line is mostly made of."""
         if self.links:
@@ -115,7 +123,7 @@ def line_shapes(lines: list[str]) -> list[Shape]:
         if coded:
             rest, n_codes = _CODE.subn(" ", rest)
         parsed.append((line, body, rest, n_links, n_codes, _WORD.findall(rest)))
-    seen = Counter([w[:12].lower() for row in parsed for w in row[5]])
+    seen = Counter([w.lower() for row in parsed for w in row[5]])
     often = {w for w, n in seen.items() if n >= 4} - FUNCTION_WORDS
     shapes = []
     for line, body, rest, n_links, n_codes, words in parsed:
@@ -124,7 +132,7 @@ def line_shapes(lines: list[str]) -> list[Shape]:
             low = w.lower()
             if low in FUNCTION_WORDS:
                 function += 1
-            elif low[:12] in often:
+            elif low in often:
                 repeated += 1
         n = len(words)
         shapes.append(
@@ -173,32 +181,53 @@ def judged_groups(shapes: list[Shape]) -> list[str]:
     return out
 
 
-def spam_share(text: str | None, lefts: list[int], rights: list[int], tops: list[int]) -> tuple[float, str]:
-    """Share of a page's characters in non-sentence lines, and the commonest of their groups."""
+def grouped(shapes: list[Shape]) -> dict[tuple, int]:
+    """Characters by kind of line and reduced shape."""
+    out: dict[tuple, int] = {}
+    for shape, kind in zip(shapes, judged_groups(shapes), strict=True):
+        key = (kind, *shape.reduced())
+        out[key] = out.get(key, 0) + shape.chars
+    return out
+
+
+def spam_share(text: str | None, lefts: list[int], rights: list[int], tops: list[int]) -> tuple[float, str, int]:
+    """Share of a page's characters in non-sentence shapes, the commonest kind of these, and how many of them make up half of the page (0: all don't)."""
     if not text or not text.strip():
-        return 0.0, ""
-    shapes = line_shapes(reading_order(text, lefts, rights, tops))
-    chars: Counter[str] = Counter()
-    for shape, group in zip(shapes, judged_groups(shapes), strict=True):
-        chars[group] += shape.chars
-    bad = {g: n for g, n in chars.items() if g in NON_SENTENCE}
-    return (sum(bad.values()) / max(1, sum(chars.values())), max(bad, key=lambda g: (bad[g], g)) if bad else "")
+        return 0.0, "", 0
+    groups = grouped(line_shapes(reading_order(text, lefts, rights, tops)))
+    whole = sum(groups.values())
+    bad = sorted((n for key, n in groups.items() if key[0] in NON_SENTENCE), reverse=True)
+    kinds: Counter[str] = Counter()
+    for key, n in groups.items():
+        if key[0] in NON_SENTENCE:
+            kinds[key[0]] += n
+    total = needed = 0
+    for n in bad:
+        total, needed = total + n, needed + 1
+        if 2 * total > whole:
+            break
+    return sum(bad) / max(1, whole), max(kinds, key=lambda g: (kinds[g], g)) if kinds else "", needed if 2 * total > whole else 0
 
 
 def page_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", boxes_col: str = "line_boxes") -> DataFrame:
-    """``id_col``, ``share`` and ``kind`` of each page with any text."""
+    """``id_col``, ``share``, ``kind`` and ``shapes`` (how many non-sentence shapes hold half of the page) of each page with any text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lefts, rights, tops = (batch.column(k).to_pylist() for k in range(1, 5))
             found = [spam_share(t, a or [], b or [], c or []) for t, a, b, c in zip(texts, lefts, rights, tops, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.string())], names=[id_col, "share", "kind"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32())], names=[id_col, "share", "kind", "shapes"])
 
     box = F.col(boxes_col)
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), box["x0"].alias("x0"), box["x1"].alias("x1"), box["y0"].alias("y0")).where("text is not null")
-    return rows.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, share double, kind string")
+    return rows.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, share double, kind string, shapes int")
+
+
+#: Reduced shapes that may make up half of a page of keywords, links or tags; pages of prose, tables and notices spread over more kinds of lines.
+FEW = 12
 
 
-def spam_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", boxes_col: str = "line_boxes", least: float = 0.5) -> DataFrame:
-    """The distinct ids of pages with more than ``least`` of their characters in non-sentence lines."""
-    return page_shares(df, id_col, text_col, boxes_col).where(F.col("share") > least).select(id_col).distinct()
+def spam_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", boxes_col: str = "line_boxes", least: float = 0.5, few: int = FEW) -> DataFrame:
+    """The distinct ids of pages with more than ``least`` of their characters in non-sentence shapes, ``few`` at most for half of them."""
+    shares = page_shares(df, id_col, text_col, boxes_col)
+    return shares.where((F.col("share") > least) & F.col("shapes").between(1, few)).select(id_col).distinct()

@@ -6,6 +6,8 @@ forms become plain ones, spelled-out digits become digits, and ``name (at) host
 (dot) org`` becomes an address with @ and dots.  Detectors run on the rewritten
 text; their spans are mapped back, so positions and replacements always concern
 the text as it was written.  Texts without disguises pass through untouched.
+Names are told by given names, titles, initials and, where no list knows them, by two
+capitalised words beside words that go with persons.
 
 Defined results: null and empty texts give nothing and are kept as they are.
 Texts of any length are read whole.  Positions count characters from 1.  A span
@@ -26,19 +28,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.given_names import COMMON_WORDS, GIVEN_NAMES
+from tidemark.llm.name_forms import ABBREVIATIONS, LEGAL_FORMS
 
 # Letters of other scripts that look like Latin ones, each with its likeness.
 _LOOKALIKES = dict(zip("аеорсухіјѕԁһӏкмтвАЕОРСХІЈЅВКМНТУΑΒΕΖΗΙΚΜΝΟΡΤΥΧοι", "aeopcyxijsdhlkmtbAEOPCXIJSBKMHTYABEZHIKMNOPTYXoi", strict=True))
-# Spelled-out digits.
-_SPELLED = {"zero": "0", "oh": "0", "nought": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_SPELLED_RUN = re.compile(r"\b(?:(?:double\s+)?(?:%s)\b[\s,-]*){5,}" % "|".join(_SPELLED), re.I)
-_SPELLED_WORD = re.compile(r"(double\s+)?(%s)\b" % "|".join(_SPELLED), re.I)
+# Spelled-out digits in English, German, French and Spanish, and words that repeat the next one.
+_SPELLED = {
+    word: str(digit)
+    for digit, words in enumerate(
+        (
+            "zero oh nought null zéro cero", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf fuenf cinq cinco", "six sechs seis",
+            "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve",
+        )
+    )
+    for word in words.split()
+}
+_REPEATED = {"double": 2, "doppel": 2, "doble": 2, "triple": 3, "treble": 3}
+_SPELLED_RUN = re.compile(r"\b(?:(?:(?:%s)\s+)?(?:%s)\b[\s,-]*){5,}" % ("|".join(_REPEATED), "|".join(_SPELLED)), re.I)
+_SPELLED_WORD = re.compile(r"(?:(%s)\s+)?(%s)\b" % ("|".join(_REPEATED), "|".join(_SPELLED)), re.I)
 _AT_DOT = re.compile(
     r"([\w.+-]+)\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<at>|\bat\b|@)\s*([\w-]+(?:\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}|<dot>|\bdot\b|\.)\s*[\w-]+)*?\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}|<dot>|\bdot\b)\s*[\w-]+"
     r"(?:\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\bdot\b)\s*[\w-]+)*)",
     re.I,
 )
 _DOT = re.compile(r"\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}|<dot>|\bdot\b)\s*", re.I)
+# an at that can't be the preposition lets the dots be plain, or words of the other languages
+_ANY_DOT = r"(?:\s*(?:[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]|\b(?:dot|punkt|point|punto)\b)\s*)"
+_SURE_AT = re.compile(r"([\w.+-]+)\s*(?:[\[({<]\s*(?:at|ät|arobase|arroba)\s*[\])}>]|\b(?:arobase|arroba|klammeraffe)\b)\s*([\w-]+(?:(?:\.|%s)[\w-]+)+)" % _ANY_DOT, re.I)
+_SOME_DOT = re.compile(_ANY_DOT, re.I)
+_SURE_AT_HINT = re.compile(r"[\[({<]\s*(?:at|ät|arobase|arroba)\b|\b(?:arobase|arroba|klammeraffe)\b")
 
 EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBER = re.compile(r"(?<![\w.@-])(?:\+|\(|(?=\d))[\d][\d ()./-]{5,}\d(?:-?[A-Za-z])?(?![\w@])")
@@ -76,6 +94,25 @@ _NOT_NAMES = frozenset(
     "the a an it its my our your his her their this that these those i we you he she they there here in on at of for from to and or but if as by with is was are were be not no so do did near some every each user assistant".split()
 )
 _NAME_WORDS = GIVEN_NAMES | _TITLE_WORDS
+# Words that stand before or after a person's name, in the four languages.
+_BEFORE_NAME = frozenset(
+    "named met dear hello hi colleague friend neighbour neighbor sister brother wife husband son daughter mother father aunt uncle cousin boss niece nephew heißt heisst heiße heisse appelle llamo llama".split()
+)
+_AFTER_NAME = frozenset("said says asked asks wrote writes told tells met phoned replied replies answered lives works smiled laughed nodded sagte fragte schrieb wohnt arbeitet dit habite travaille dijo vive trabaja escribió".split())
+# Capitalised words that make two capitalised words no person.
+_NO_PERSON = frozenset(
+    """
+    monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december montag dienstag mittwoch donnerstag freitag
+    samstag sonntag street road avenue lane close hill terrace drive square place gardens north south east west new old great saint san santa el la los las le les der die das company university
+    institute association society church school college hospital station bridge park river lake city county bank club union party museum library theatre hotel king queen order part ticket version
+    """.split()
+) | frozenset(LEGAL_FORMS) | frozenset(ABBREVIATIONS) | frozenset(ABBREVIATIONS.values())
+_NAME_CUES = _BEFORE_NAME | _AFTER_NAME | {"name"}
+_JOINING = frozenset("and und et y".split())
+_JOINED = re.compile(r",? (?:and|und|et|y|&) ")
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_CAPITALS = re.compile(rf"(?<![^\W_])(?<![.'’-])(?=({_CAPITAL} (?:[A-ZÀ-ÖØ-Þ]\. ?)?{_CAPITAL}))[A-ZÀ-ÖØ-Þ]")
+_CAPITAL_AHEAD = re.compile(r"(^|[.!?:]\s+|\n)?\b([A-ZÀ-ÖØ-Þ][^\W\d_]+) $")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _AFTER_SURNAME = re.compile(r", [A-Z]\.")
 #: The kinds in order of precedence.
@@ -128,7 +165,7 @@ def plain_digits(t: Tracked) -> None:
     spans = []
     for run in _SPELLED_RUN.finditer(t.text):
         words = list(_SPELLED_WORD.finditer(t.text, run.start(), run.end()))
-        digits = "".join(_SPELLED[w.group(2).lower()] * (2 if w.group(1) else 1) for w in words)
+        digits = "".join(_SPELLED[w.group(2).lower()] * _REPEATED.get((w.group(1) or "").lower(), 1) for w in words)
         spans.append((run.start(), words[-1].end(), digits))
     t.rewrite(spans)
 
@@ -140,6 +177,11 @@ def plain_addresses(t: Tracked) -> None:
         spans.append((m.end(1), m.start(2), "@"))
         spans += [(d.start(), d.end(), ".") for d in _DOT.finditer(t.text, m.start(2), m.end(2))]
     t.rewrite(spans)
+    spans = []
+    for m in _SURE_AT.finditer(t.text):
+        spans.append((m.end(1), m.start(2), "@"))
+        spans += [(d.start(), d.end(), ".") for d in _SOME_DOT.finditer(t.text, m.start(2), m.end(2))]
+    t.rewrite(spans)
 
 
 def _names(text: str, low: str) -> list[tuple[int, int]]:
@@ -198,6 +240,36 @@ def _names(text: str, low: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _names_by_context(text: str, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Two capitalised words that no list knows, beside words that go with persons or joined to another name by ``and``."""
+    pairs = [m.span(1) for m in _CAPITALS.finditer(text)]
+    pairs = [(a, b) for a, b in pairs if not any(a < y and x < b for x, y in known)]
+    pairs = [(a, b) for a, b in pairs if not any(w.lower() in _NO_PERSON or w.lower() in _NOT_NAMES or w.isupper() for w in _WORD.findall(text[a:b]))]
+    if not pairs:
+        return []
+    found: set[tuple[int, int]] = set()
+    for a, b in pairs:
+        # a longer run of capitalised words is a firm's or a place's name
+        ahead = _CAPITAL_AHEAD.search(text[max(0, a - 40) : a])
+        if re.match(r" [A-ZÀ-ÖØ-Þ][^\W\d_]", text[b : b + 3]) or ahead and ahead.group(1) is None and ahead.group(2).lower() not in _BEFORE_NAME:
+            continue
+        before, after = _LETTERS.findall(text[max(0, a - 24) : a].lower()), _LETTERS.findall(text[b : b + 24].lower())
+        glued_before, glued_after = text[max(0, a - 2) : a].endswith((" ", ": ", ", ")), text[b : b + 1] == " "
+        called = len(before) > 1 and before[-1] == "is" and before[-2] == "name"
+        if glued_before and before and (before[-1] in _BEFORE_NAME or called) or glued_after and after and after[0] in _AFTER_NAME:
+            found.add((a, b))
+    held = known + sorted(found)
+    grows = bool(found) or bool(known)
+    while grows:  # along "and", "und", "et", "y"
+        grows = False
+        for a, b in pairs:
+            if (a, b) not in found and any(_JOINED.fullmatch(text, y, a) or _JOINED.fullmatch(text, b, x) for x, y in held):
+                found.add((a, b))
+                held.append((a, b))
+                grows = True
+    return sorted(found)
+
+
 def detect(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each piece of personal data in the text as written, in order."""
     if not text:
@@ -205,10 +277,11 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     t = Tracked(text)
     plain_letters(t)
     low = t.text.lower()
-    if "five" in low or "seven" in low or "zero" in low or "nine" in low or "three" in low:
+    words = _LETTERS.findall(low)
+    if sum([w in _SPELLED for w in words]) >= 5:
         plain_digits(t)
         low = t.text.lower()
-    if "dot" in low and "at" in low:
+    if "dot" in low and ("at" in low or "@" in low) or _SURE_AT_HINT.search(low) is not None:
         plain_addresses(t)
         low = t.text.lower()
     plain = t.text
@@ -246,7 +319,10 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     for shape, hints in zip(_ADDRESSES, _ADDRESS_HINTS, strict=True):
         if hints is None or any(h in low for h in hints):
             found += [(*m.span(), "address") for m in shape.finditer(plain) if free(*m.span())]
-    found += [(a, b, "name") for a, b in _names(plain, low) if free(a, b)]
+    named = _names(plain, low)
+    found += [(a, b, "name") for a, b in named if free(a, b)]
+    if not _NAME_CUES.isdisjoint(words) or named and not _JOINING.isdisjoint(words):
+        found += [(a, b, "name") for a, b in _names_by_context(plain, named) if free(a, b)]
     return sorted((*t.source(a, b), kind) for a, b, kind in found)
 
 
