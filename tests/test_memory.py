@@ -10,6 +10,7 @@ from tidemark.operators import curation as U
 from tidemark.operators import entities as E
 from tidemark.operators import folds as FD
 from tidemark.operators import links as L
+from tidemark.operators import retrieval as R
 from tidemark.operators import temporal as T
 from tidemark.operators import vectors as V
 from tidemark.operators import working as W
@@ -252,3 +253,80 @@ def test_overlapping_conflicts_see_every_other_object(spark, at):
         rows = [{"id": f"f{n}-{k}", "subject_id": "s", "predicate": "p", "object_value": o, "valid_from": lo, "valid_to": hi, "recorded_at": at(0)} for k, (o, lo, hi) in enumerate(case)]
         assert [r.n_facts for r in T.fact_conflicts(facts(spark, rows), require_overlap=True).collect()] == [brute(rows)]
     assert brute([dict(zip(("object_value", "valid_from", "valid_to"), r), id=str(k)) for k, r in enumerate(one)]) == 2
+
+
+def test_sequential_clusters_equal_a_plain_loop(spark):
+    rng = random.Random(9)
+    hour = 3_600_000_000
+    rows, us = [], 0
+    for k in range(60):
+        us += rng.choice([1, 24, 167, 168, 169, 400]) * hour
+        v = rng.choice([None, [0.0, 0.0], [1.0, 0.1], [-1.0, 0.2], [0.0, 1.0], [1.0]])
+        rows.append((rng.choice("ab"), f"e{k:02}", us, v))
+    rows += [(None, "x", 5, [1.0, 0.0]), ("a", "y", None, [1.0, 0.0])]
+
+    def alike(a, b):
+        if not a or not b or len(a) != len(b) or not math.hypot(*a) or not math.hypot(*b):
+            return 0.0
+        return (1 + sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)) / 2
+
+    want = {}
+    for key in "ab":
+        held, last, n = [], None, -1
+        for _, i, t, v in sorted((r for r in rows if r[0] == key and r[2] is not None), key=lambda r: (r[2], r[1])):
+            if not held or t - last > 168 * hour or len(held) >= 5 or round(sum(alike(v, h) for h in held) / len(held), 12) < 0.4:
+                held, n = [], n + 1
+            held.append(v)
+            last, want[i] = t, n
+    df = spark.createDataFrame(rows, "parent_id string, id string, us long, embedding array<double>")
+    assert {r.id: r.cluster for r in FD.cluster_sequential(df, "parent_id", "id", "us", "embedding", threshold=0.4).collect()} == want
+
+
+def test_mean_similarity_and_zero_vectors(spark):
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 2.0]), (3, 0, [0.0, 0.0]), (4, 1, None)], "vec_id int, label int, embedding array<double>")
+    got = {r.vec_id: round(r.similarity, 6) for r in V.mean_similarity(df, "label").collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 0.0, 4: 0.0}
+
+
+def test_places_spread_a_crowded_key(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([0, 0, 0, 0, 1, None]), rng.randrange(50), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "level int, x int, id int")
+    got = {r.id: (r.place, r.length) for r in R.places(df, ["level"], [F.desc("x"), F.asc("id")]).collect()}
+    for level in (0, 1, None):
+        own = sorted((r for r in rows if r[0] == level), key=lambda r: (-r[1], r[2]))
+        assert all(got[r[2]] == (k, len(own)) for k, r in enumerate(own))
+    assert R.places(df.limit(0), ["level"], [F.asc("x")]).count() == 0
+
+
+def test_patterns_found_grow_or_are_new(spark, at):
+    schema = "candidate_id string, description string, pattern_type string, confidence double, occurrences array<string>, embedding array<double>, first_seen timestamp_ntz, last_seen timestamp_ntz"
+    found = spark.createDataFrame([
+        ("c1", "same", "behavioral", 0.5, ["e1", "e9"], [1.0, 0.1], at(0), at(5)), ("c2", "new", "behavioral", 0.5, ["e1", "e2", "e3"], [-1.0, 0.0], at(0), at(5)), ("c3", "few", "preference", 0.5, ["e1"], [1.0, 0.0], at(0), at(5)),
+    ], schema)
+    known = spark.createDataFrame([("p1", "same", "behavioral", 0.4, ["e1"], [1.0, 0.0], at(0), at(1)), ("p2", "other", "error", 0.4, ["e5"], [1.0, 0.0], at(0), at(1))], schema.replace("candidate_id", "pattern_id"))
+    grown, fresh = K.detect_patterns(found, known)
+    got = {r.pattern_id: (r.n_new, round(r.confidence, 6), sorted(r.occurrences), r.last_seen) for r in grown.collect()}
+    assert got == {"p1": (1, 0.5, ["e1", "e9"], at(5)), "p2": (0, 0.4, ["e5"], at(1))} and [r.description for r in fresh.collect()] == ["new"]
+
+
+def test_superseded_equals_the_pairs(spark, at):
+    rng = random.Random(3)
+    rows = [{"id": f"f{k:02}", "subject_id": rng.choice("ab"), "predicate": "p", "object_value": rng.choice(["x", "y", "z", "", None]), "recorded_at": at(rng.randrange(9))} for k in range(60)]
+    live = facts(spark, rows)
+    new = live.where("id >= 'f30'").select("id")
+    pairs = T.conflicting_pairs(live, new).groupBy("old_id").agg(F.max("new_at").alias("at"))
+    assert {(r.id, r.at) for r in T.superseded(live, new).collect()} == {(r.old_id, r.at) for r in pairs.collect()}
+
+
+def test_sections_leave_out_what_is_empty(spark):
+    context = spark.createDataFrame([("a", "S", ""), ("b", None, "T")], "conv_id string, system string, task string")
+    memories = spark.createDataFrame([("a", k, f"m{k}", "episodic_L0", float(k)) for k in range(7)], "conv_id string, id int, text string, source string, relevance double")
+    msgs = spark.createDataFrame([("b", 1, "user", "hi"), ("b", 2, "assistant", "yo"), ("b", 3, "user", "so")], "conv_id string, seq long, role string, text string")
+    got = {r.conv_id: r.rendered for r in W.render_sections(context, memories, msgs).collect()}
+    assert got["a"] == "# System Context\nS\n\n# Relevant Memories\n" + "\n".join(f"- m{k} (from episodic_L0)" for k in range(6, -1, -1))
+    assert got["b"] == "# Current Task\nT\n\n# Conversation History\nUser: hi\nAssistant: yo\nUser: so"
+    left = sorted((r.conv_id, r.priority, r.content) for r in W.offload_items(context, memories, msgs).collect())
+    assert left == [("a", 0, f"m{k}") for k in range(7)] + [("b", 1, "hi"), ("b", 2, "T")]
+    assert {r.conv_id: r.task for r in W.set_context(context, spark.createDataFrame([("b", None), ("c", "new")], "conv_id string, value string"), "task").collect()} == {"a": "", "b": None, "c": "new"}
+    assert W.cleared(msgs, context.where("conv_id = 'b'")).count() == 0

@@ -1,8 +1,13 @@
 import pytest
 
 from tidemark.functions.models import HashingEmbedder, with_retries
-from tidemark.operators.ingest import ingest, offload, open_store, record_access, run_cycle
-from tidemark.sources.store import DuplicateKeyError
+from tidemark import cli
+from tidemark.operators import records as S
+from tidemark.operators.ingest import Curator, ingest, offload, open_store, record_access, run_cycle
+from tidemark.operators.search import hybrid_query, search_entities, search_episodes, semantic_query
+from tidemark.sources import store as store_module
+from tidemark.sources.errors import ConcurrentWriteError, DuplicateKeyError, MissingReferenceError, UnknownTableError
+from tidemark.sources.tables import shared_dir
 from tidemark.streaming.events import daily_counts, ingest_stream, sessions
 from tidemark.streaming.intervals import merged_periods
 
@@ -102,3 +107,122 @@ def test_intermediate_tables_are_cleared(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_of_two_writers_one_fails_and_nothing_is_lost(spark, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    stale = store._manifest("entities")
+    store.append("entities", spark.createDataFrame([("e1", "A")], "id string, name string"))
+    with pytest.raises(ConcurrentWriteError):
+        store._commit("entities", stale)
+    assert [r.id for r in store.read("entities").collect()] == ["e1"]
+    with pytest.raises(UnknownTableError):
+        store.read("nothing")
+
+
+def test_logs_keep_all_rows_and_many_versions_are_compacted(spark, at, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    one = spark.createDataFrame([("e1",)], "id string")
+    for day in range(3):
+        record_access(store, one, str(at(day)), "entity")
+    assert store.read("access_log").count() == 3
+    store_module.COMPACT_AFTER, before = 4, store_module.COMPACT_AFTER
+    try:
+        for k in range(6):
+            store.append("entities", spark.createDataFrame([("e1", f"A{k}")], "id string, name string"))
+    finally:
+        store_module.COMPACT_AFTER = before
+    assert len(store._manifest("entities")["versions"]) < 4 and [r.name for r in store.read("entities").collect()] == ["A5"]
+
+
+def test_inserts_check_what_they_refer_to(spark, at, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    S.insert_entities(store, spark.createDataFrame([("ent_1", "Rosa", "person"), ("ent_2", "Omar", "person")], "id string, name string, entity_type string"))
+    fact = "id string, subject_id string, predicate string, object_id string, object_value string"
+    S.insert_facts(store, spark.createDataFrame([("fct_1", "ent_1", "knows", "ent_2", None)], fact), str(at(1)))
+    assert store.read("facts").first().recorded_at == at(1)
+    wrong = spark.createDataFrame([("fct_2", "ent_9", "knows", None, "x"), ("fct_3", "ent_1", "knows", None, "x")], fact)
+    with pytest.raises(MissingReferenceError):
+        S.insert_facts(store, wrong, str(at(1)))
+    S.insert_facts(store, wrong, str(at(2)), strict=False)
+    assert sorted(r.id for r in store.read("facts").collect()) == ["fct_1", "fct_3"]
+    S.insert_episodes(store, spark.createDataFrame([("epi_1", 0, None, "masonry and vaults"), ("epi_2", 0, "", "juggling")], "id string, level int, parent_id string, content string"))
+    with pytest.raises(MissingReferenceError):
+        S.insert_episodes(store, spark.createDataFrame([("epi_3", 0, "epi_x", "y")], "id string, level int, parent_id string, content string"))
+    link = "id string, source_id string, target_id string, link_type string, weight double"
+    S.insert_links(store, spark.createDataFrame([("lnk_1", "epi_1", "epi_2", "semantic", 0.5)], link))
+    S.insert_links(store, spark.createDataFrame([("lnk_2", "epi_1", "epi_2", "semantic", 0.9)], link))  # replaces it
+    assert [(r.id, r.weight) for r in store.read("episode_links").collect()] == [("lnk_2", 0.9)]
+    with pytest.raises(MissingReferenceError):
+        S.insert_links(store, spark.createDataFrame([("lnk_3", "epi_1", "epi_9", "semantic", 0.5)], link))
+    assert [r.id for r in S.nearest(store, "masonry and vaults", "episode", 1).collect()] == ["epi_1"]
+    S.drop_vectors(store, spark.createDataFrame([("epi_1",)], "id string"))
+    assert [r.id for r in S.nearest(store, "masonry and vaults", "episode", 1).collect()] == ["epi_2"]
+    assert spark.range(1).select(S.fresh_id("link").alias("i")).first().i.startswith("lnk_")
+
+
+class Rule:
+    """Answers by a function and counts what it was asked."""
+
+    def __init__(self, rule):
+        self.rule = rule
+
+    def answer(self, prompts):
+        return [self.rule(p) for p in prompts]
+
+
+def test_ingest_takes_every_step(spark, at, tmp_path):
+    store = open_store(spark, str(tmp_path))
+    text = "filler words " * 12
+    rows = [("c", 1, f"Rosa works at Acme {text}", "noted", at(1)), ("c", 2, f"Rosa works at Bolt {text}", "noted", at(2)), ("c", 3, "hi", "ho", at(3))]
+    talk = spark.createDataFrame(rows, "conv_id string, seq long, question string, answer string, at timestamp_ntz")
+    word = lambda p: p.partition("works at ")[2].split(" ")[0]
+    curator = Curator(
+        entities=Rule(lambda p: '{"entities": [{"name": "Rosa", "type": "person"}, {"name": "%s", "type": "firm"}]}' % word(p)),
+        facts=Rule(lambda p: '{"facts": [{"subject": "rosa", "predicate": "works_at", "object": "%s"}, {"subject": "nobody", "predicate": "x", "object": "y"}]}' % word(p)),
+        link=Rule(lambda p: '{"should_link": true, "link_type": "temporal", "weight": 0.4, "reasoning": "r"}'),
+        evolution=Rule(lambda p: '{"should_update": true, "update_type": "context", "context": "seen again", "keywords": ["again"], "tags": [], "salience": 0.9}'),
+    )
+    for _ in range(2):  # the second time adds nothing
+        assert sorted(r.stored for r in ingest(store, talk, curator=curator).collect()) == [False, True, True]
+        assert store.read("episodes").count() == 2 and {r.name for r in store.read("entities").collect()} == {"Rosa", "Acme", "Bolt"}
+        facts = {r.recorded_at: r for r in store.read("facts").collect()}
+        assert len(facts) == 2 and facts[at(1)].invalidated_at == at(2) and facts[at(2)].invalidated_at is None and facts[at(1)].object_id.startswith("ent_")
+        assert store.read("episode_links").count() == 2 and {r.context_description for r in store.read("episodes").collect()} == {"seen again"}
+    other = Curator(facts=curator.facts, entities=curator.entities, resolution=Rule(lambda p: '{"strategy": "rejection", "invalidations": ["%s"]}' % p.rpartition("(")[2].split(")")[0]))
+    ingest(store, spark.createDataFrame([("c", 9, f"Rosa works at Cask {text}", "noted", at(9))], talk.schema), curator=other)
+    assert [r.invalidated_at is None for r in store.read("facts").orderBy("recorded_at").collect()] == [False, True, False]  # the judge rejects the new one
+
+    facts = semantic_query(store, "Rosa person", str(at(20)), k=1).collect()
+    assert {r.predicate for r in facts} <= {"works_at"} and store.read("access_log").count() >= 1
+    found = hybrid_query(store, "Rosa works at Acme", str(at(20)), k=2)
+    assert found["episodes"].count() == 2 and search_episodes(store, "Rosa", as_of=str(at(1))).count() == 1
+    store.reset("vectors")
+    assert [r.name for r in search_entities(store, "ros").collect()] == ["Rosa"]
+    assert search_episodes(store, "anything", k=1).first().occurred_at == at(9)  # the most recent
+    report = run_cycle(store, str(at(30)), pattern_judge=Rule(lambda p: '{"description": "works a lot", "pattern_type": "behavioral", "confidence": 0.5}')).first()
+    assert report.patterns == 1 and report.summaries == 1 and store.read("patterns").first().occurrences is not None
+    held = [r for r in store.read("facts").collect() if r.invalidated_at is None]  # Rosa and Bolt
+    assert report.community_members == 2 and {(r.id, r.community_id) for r in store.read("community_members").collect()} == {(i, "com_" + min(held[0].subject_id, held[0].object_id)) for i in (held[0].subject_id, held[0].object_id)}
+
+
+def test_commands(spark, at, tmp_path):
+    store = open_store(spark, str(tmp_path / "s"))
+    said = cli.chat(store, "What of the masonry vault? " * 20, str(at(1)), [("user", "hello"), ("assistant", "yes")], system="Be kind.")
+    assert said.startswith("system: # System Context\nBe kind.") and "User: hello" in said and store.read("episodes").count() == 1
+    assert cli.retrieve(store, "masonry vault", str(at(2))).first().source == "episodic_L0"
+    assert cli.consolidate(store, str(at(2))) is None and cli.consolidate(store, str(at(2)), force=True).count() == 1
+    assert {r.what: r.n for r in cli.status(store).collect()}["episodes_L0"] == 1
+    cli.main(["--store", str(tmp_path / "s"), "export", str(tmp_path / "out")])
+    assert {r.tbl: r.n_rows for r in spark.read.json(str(tmp_path / "out" / "statistics")).collect()}["episodes"] == 1
+    cli.main(["--store", str(tmp_path / "s"), "reset", "--force"])
+    assert store.read("episodes").count() == 0 == store.read("vectors").count()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://x:7077"}.get(name, default)
+
+    with pytest.raises(ValueError):
+        shared_dir(type("S", (), {"conf": Conf()})())

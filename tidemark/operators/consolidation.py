@@ -57,7 +57,7 @@ def pattern_lifecycle(occurrences: Column) -> Column:
 def strengthen(patterns: DataFrame, seen: DataFrame) -> DataFrame:
     """Patterns with new occurrences (``pattern_id``, ``found``): confidence up 0.1 for each new one, to 1."""
     joined = patterns.join(seen, "pattern_id", "left")
-    fresh = F.size(F.array_except(F.coalesce("found", F.array().cast("array<bigint>")), "occurrences"))
+    fresh = F.size(F.array_except(F.coalesce("found", F.col("occurrences")), "occurrences"))
     grown = F.least(F.lit(1.0), F.col("confidence") + 0.1 * fresh)
     return joined.select("pattern_id", fresh.cast("long").alias("n_new"), F.round(F.when(fresh > 0, grown).otherwise(F.col("confidence")), 6).alias("confidence"))
 
@@ -73,6 +73,23 @@ def weaken(patterns: DataFrame, recent: DataFrame) -> DataFrame:
     return joined.select("pattern_id", F.round(F.when(F.col("seen").isNull() & (lower < F.col("confidence")), lower).otherwise(F.col("confidence")), 6).alias("confidence"))
 
 
+def strengthen_rows(patterns: DataFrame, occurrences: DataFrame, seen: DataFrame) -> DataFrame:
+    """As :func:`strengthen`, with a row per occurrence (``pattern_id``, ``id``), so a pattern may have any number of them."""
+    key = ["pattern_id", "id"]
+    fresh = seen.select(*key).distinct().join(occurrences.select(*key), key, "left_anti").groupBy("pattern_id").agg(F.count("*").alias("n_new"))
+    joined = patterns.join(fresh, "pattern_id", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)).cast("long"))
+    grown = F.least(F.lit(1.0), F.col("confidence") + 0.1 * F.col("n_new"))
+    return joined.withColumn("confidence", F.round(F.when(F.col("n_new") > 0, grown).otherwise(F.col("confidence")), 6))
+
+
+def weaken_rows(patterns: DataFrame, occurrences: DataFrame, recent: DataFrame) -> DataFrame:
+    """As :func:`weaken`, with a row per occurrence."""
+    seen = occurrences.join(recent.select("id").distinct(), "id", "left_semi").select("pattern_id").distinct().withColumn("seen", F.lit(True))
+    lower = F.greatest(F.lit(0.1), F.col("confidence") - 0.05)
+    joined = patterns.join(seen, "pattern_id", "left")
+    return joined.select("pattern_id", F.round(F.when(F.col("seen").isNull() & (lower < F.col("confidence")), lower).otherwise(F.col("confidence")), 6).alias("confidence"))
+
+
 def match(candidates: DataFrame, patterns: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The best pattern of the same type for each candidate, the smaller id on ties, if alike enough."""
     c, p = candidates.alias("c"), patterns.alias("p")
@@ -81,6 +98,21 @@ def match(candidates: DataFrame, patterns: DataFrame, threshold: float = 0.7) ->
     return pairs.withColumn("rank", F.row_number().over(w)).where((F.col("rank") == 1) & (F.col("similarity") >= threshold)).drop("rank")
 
 
+def detect_patterns(found: DataFrame, patterns: DataFrame, least: int = 3, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Patterns found (``candidate_id``, ``occurrences``, ...) against those known: the known ones with what they gained, and the new ones.
+
+    A match adds its occurrences and 0.1 confidence for each new one; what matches none is new if it
+    occurs ``least`` times.
+    """
+    hit = match(found, patterns, threshold).select("candidate_id", "pattern_id")
+    seen = hit.join(found, "candidate_id").groupBy("pattern_id").agg(F.array_distinct(F.flatten(F.collect_list("occurrences"))).alias("found"), F.max("last_seen").alias("_last"))
+    gained = strengthen(patterns, seen).select("pattern_id", "n_new", F.col("confidence").alias("_c"))
+    grown = patterns.join(gained, "pattern_id").join(seen, "pattern_id", "left")
+    grown = grown.withColumns({"confidence": F.col("_c"), "occurrences": F.array_union("occurrences", F.coalesce("found", F.col("occurrences"))), "last_seen": F.greatest("last_seen", "_last")}).drop("_c", "_last", "found")
+    fresh = found.join(hit, "candidate_id", "left_anti").where(F.size("occurrences") >= least).drop("candidate_id")
+    return grown, fresh
+
+
 def description_similar(a: Column, b: Column) -> Column:
     """Equal, one inside the other, or more than 0.7 of the smaller set of words shared."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))

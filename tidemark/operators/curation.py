@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import blank_to_null, braced, fenced
 
+# Kinds of links, strategies and patterns.
 LINK_TYPES = ("semantic", "temporal", "causal", "analogical")
 STRATEGIES = ("temporal_succession", "confidence_adjustment", "coexistence", "rejection")
 PATTERN_TYPES = ("behavioral", "preference", "procedural", "error")
@@ -100,6 +101,15 @@ def parse_pattern(df: DataFrame, answer: str) -> DataFrame:
     return df.withColumns({"description": F.when(~bad, text), "pattern_type": F.when(~bad, kind), "confidence": F.when(~bad, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(_number(j, "confidence"), F.lit(0.5))))), "error": F.when(bad, "invalid answer")})
 
 
+def parse_evolution(df: DataFrame, answer: str) -> DataFrame:
+    """``changes``, ``context``, ``new_keywords``, ``new_tags``, ``new_salience``, ``error``; an update of type none changes nothing."""
+    j = braced(F.col(answer))
+    words = lambda name: F.from_json(_field(j, name), "array<string>")
+    bad = _field(j, "should_update").isNull() | _field(j, "update_type").isNull()
+    changes = ~bad & (_field(j, "should_update") == "true") & (F.lower(_field(j, "update_type")) != "none")
+    return df.withColumns({"changes": F.coalesce(changes, F.lit(False)), "context": _field(j, "context"), "new_keywords": words("keywords"), "new_tags": words("tags"), "new_salience": _number(j, "salience"), "error": F.when(bad, "invalid answer")})
+
+
 def evolution_merge(df: DataFrame, new_context: Column, new_keywords: Column, new_tags: Column, new_salience: Column) -> DataFrame:
     """Context appended with a blank, keywords and tags united and sorted, salience replaced if in [0, 1]."""
     none = F.array().cast("array<string>")

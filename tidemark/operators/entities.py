@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import latest
 
+# How ids are written.
 ENTITY_ID = r"^ent_[a-f0-9\-]+$"
 EPISODE_ID = r"^epi_[a-f0-9\-]+$"
 FACT_ID = r"^fct_[a-f0-9\-]+$"
@@ -55,6 +56,17 @@ def community_add(communities: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("community_id", ids.alias("entity_ids"))
 
 
+def member_names(members: DataFrame, entities: DataFrame) -> DataFrame:
+    """The members that exist, with their names; members: a row per ``community_id`` and ``id``, so a community may be of any size."""
+    return members.select("community_id", "id").distinct().join(unique_entities(entities).select("id", "name", "created_at"), "id")
+
+
+def add_members(members: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``members`` and the new ones that are not there yet."""
+    key = ["community_id", "id"]
+    return members.select(*key).unionByName(new.select(*key).distinct().join(members.select(*key), key, "left_anti"))
+
+
 def invalid_ids(df: DataFrame, id_col: str, pattern: str) -> DataFrame:
     return df.where(F.col(id_col).isNull() | ~F.col(id_col).rlike(pattern))
 

@@ -65,6 +65,42 @@ def cluster_semantic(vectors: DataFrame, group_col: str = "label", id_col: str =
     )
 
 
+def cluster_sequential(
+    rows: DataFrame, group_col: str, id_col: str, us_col: str, vec_col: str, max_gap_hours: int = 168, max_size: int = 5, threshold: float = 0.3
+) -> DataFrame:
+    """Sequential clusters in order of time: a new one after a gap longer than ``max_gap_hours``, else when the last is
+    full, else when the row is too unlike it on average (mean (1 + cos) / 2 below ``threshold``).
+
+    Null, zero and differently long vectors have similarity 0.  Rows without group or time belong
+    to none.  Gives group, id and ``cluster`` (from 0).
+    """
+
+    def start() -> dict:
+        return {"cluster": -1, "held": [], "us": None}
+
+    def step(state: dict, row: dict) -> tuple:
+        v = np.array(row[vec_col] or [], float)
+        size = np.linalg.norm(v) if len(v) else 0.0
+        unit, held = (v / size if size else None), state["held"]
+        new = not held or row[us_col] - state["us"] > max_gap_hours * 3_600_000_000 or len(held) >= max_size
+        if not new:
+            alike = [(1 + float(unit @ h)) / 2 if unit is not None and h is not None and len(h) == len(unit) else 0.0 for h in held]
+            new = round(sum(alike) / len(alike), 12) < threshold
+        if new:
+            state["cluster"] += 1
+            state["held"] = []
+        state["held"].append(unit)
+        state["us"] = row[us_col]
+        return state, (row[group_col], row[id_col], state["cluster"])
+
+    types = dict(rows.dtypes)
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+    return ordered_fold(
+        rows.select(group_col, id_col, us_col, vec_col).dropna(subset=[group_col, us_col]), [group_col], [us_col, id_col], start, step,
+        f"`{group_col}` {types[group_col]}, `{id_col}` {types[id_col]}, cluster long", [arrow[types[group_col]], arrow[types[id_col]], pa.int64()], [group_col, id_col, "cluster"],
+    )
+
+
 def trim_replay(messages: DataFrame, budget: int, pressure: float = 0.8, keep: float = 0.9) -> DataFrame:
     """What a dialog holds after each message: ``conv_id``, ``seq``, ``held``, ``tokens``.
 

@@ -100,8 +100,11 @@ def strengthened(links: DataFrame, pairs: DataFrame, cap: float = 10.0) -> DataF
 
 def maintenance(links: DataFrame, pairs: DataFrame, rate: float = 0.1, floor: float = 0.1, threshold: float = 0.1) -> DataFrame:
     """Strengthen, decay, prune, in that order; one row of counts."""
-    grown = strengthened(links, pairs)
-    aged = decayed(grown, rate, floor)
+    return maintenance_report(decayed(strengthened(links, pairs), rate, floor), threshold)
+
+
+def maintenance_report(aged: DataFrame, threshold: float) -> DataFrame:
+    """The counts of strengthened and decayed links, before those below the threshold go."""
     return aged.agg(
         F.count("*").alias("links_before"), F.count_if("strengthened").alias("strengthened"), F.count_if("changed").alias("decayed"),
         F.count_if(F.col("weight") < threshold).alias("pruned"), F.count_if(F.col("weight") >= threshold).alias("links_after"),

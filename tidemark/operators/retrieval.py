@@ -6,13 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import blank_to_null
+from tidemark.sources.tables import materialise, shuffle_partitions
+
+
+def places(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Adds ``place`` (from 0) and ``length`` within each key's list, also where one key holds most rows.
+
+    Rows are range-partitioned by key and order and written once; a row's place is the one within its range
+    plus the rows of its key in earlier ranges, of which there is one count per range and key.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    ranges = materialise(rows.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    by_key = Window.partitionBy(*keys)
+    ahead = F.sum("_n").over(by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_n").over(by_key).alias("length"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = ranges.withColumn("_within", within).join(offsets, same)
+    return joined.withColumn("place", F.col("_within") + F.col("_ahead")).drop("_range", "_r", "_within", "_ahead", *(f"_k{i}" for i in range(len(keys))))
 
 
 def relevance(ranked: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Adds ``score`` = 1 - place / length within each key's list."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(*order)) - 1
-    return ranked.withColumn("score", 1 - place / F.count("*").over(w))
+    """Adds ``score`` = 1 - place / length within each key's list, or within the rows of one search if there is no key."""
+    if keys:
+        return places(ranked, keys, order).withColumn("score", 1 - F.col("place") / F.col("length")).drop("place", "length")
+    w = Window.partitionBy(F.lit(0))
+    return ranked.withColumn("score", 1 - (F.row_number().over(w.orderBy(*order)) - 1) / F.count("*").over(w))
 
 
 def dedup_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

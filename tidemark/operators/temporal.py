@@ -101,6 +101,43 @@ def fact_conflicts(facts: DataFrame, require_overlap: bool = False) -> DataFrame
     return per.select("subject_id", "predicate", pairs.cast("long").alias("n_pairs")).where("n_pairs > 0")
 
 
+def fact_by_id(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The latest row of each asked id (first column of ``ids``)."""
+    return latest_facts(facts.join(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "id", "left_semi"))
+
+
+def conflicting_pairs(live: DataFrame, new: DataFrame) -> DataFrame:
+    """``new_id``, ``new_at``, ``old_id``: live facts recorded before a new one (``id``) on the same subject and predicate whose objects differ."""
+    obj = F.coalesce(F.concat(F.lit("id "), blank_to_null("object_id")), F.concat(F.lit("value "), blank_to_null("object_value")))
+    rows = live.select("id", "subject_id", "predicate", "recorded_at", obj.alias("obj")).where("obj is not null")
+    n, o = rows.join(new.select("id"), "id", "left_semi").alias("n"), rows.alias("o")
+    same = (F.col("n.subject_id") == F.col("o.subject_id")) & (F.col("n.predicate") == F.col("o.predicate"))
+    older = F.struct(F.col("o.recorded_at"), F.col("o.id")) < F.struct(F.col("n.recorded_at"), F.col("n.id"))
+    return n.join(o, same & older & (F.col("n.obj") != F.col("o.obj"))).select(F.col("n.id").alias("new_id"), F.col("n.recorded_at").alias("new_at"), F.col("o.id").alias("old_id"))
+
+
+def superseded(live: DataFrame, new: DataFrame) -> DataFrame:
+    """``id``, ``at``: live facts that a later new one (``id``) with another object contradicts, and when the last of these was recorded.
+
+    Two maxima per subject and predicate tell it, without pairs: the last new fact, and the last with another object than that.
+    """
+    obj = F.coalesce(F.concat(F.lit("id "), blank_to_null("object_id")), F.concat(F.lit("value "), blank_to_null("object_value")))
+    rows = live.select("id", "subject_id", "predicate", "recorded_at", obj.alias("obj")).where("obj is not null and subject_id is not null and predicate is not null")
+    fresh = rows.join(new.select("id"), "id", "left_semi")
+    key = ["subject_id", "predicate"]
+    last = fresh.groupBy(*key).agg(F.max(F.struct("recorded_at", "id", "obj")).alias("best"))
+    other = fresh.join(last, key).where("obj <> best.obj").groupBy(*key).agg(F.max(F.struct("recorded_at", "id", "obj")).alias("second"))
+    joined = rows.join(last, key).join(other, key, "left")
+    rival = F.when(F.col("best.obj") != F.col("obj"), F.col("best")).otherwise(F.col("second"))
+    found = joined.select("id", F.struct("recorded_at", "id").alias("own"), rival.alias("rival"))
+    return found.where(F.struct("rival.recorded_at", "rival.id") > F.col("own")).select("id", F.col("rival.recorded_at").alias("at"))
+
+
+def apply_resolution(facts: DataFrame, resolved: DataFrame, at: str) -> DataFrame:
+    """The facts with those stamped that parsed resolutions (``invalidate``: ids) name."""
+    return invalidate(facts, resolved.where("error is null").select(F.explode("invalidate").alias("id")), at)
+
+
 def overlapping_conflicts(facts: DataFrame) -> DataFrame:
     """``n_facts``: live facts that conflict with one before them in time, on one subject and predicate.
 

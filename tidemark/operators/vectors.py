@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import cosine_distance, unit_similarity
+from tidemark.functions.columns import cosine_distance
 
 #: Most queries in one block.
 BLOCK = 4096
@@ -100,8 +100,15 @@ def coherence(vectors: DataFrame, group_col: str, vec_col: str = "embedding") ->
     return joined.select(group_col, F.col("n"), value.alias("coherence"))
 
 
-def similarity_to_mean(vectors: DataFrame, group_col: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Each vector's (1 + cos) / 2 to the element-wise mean of its group."""
-    parts = vectors.select(group_col, F.posexplode(vec_col).alias("_at", "_x")).groupBy(group_col, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    mean = parts.groupBy(group_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_m"))), lambda s: s["_m"]).alias("mean"))
-    return vectors.join(mean, group_col).select(id_col, group_col, unit_similarity(F.col(vec_col), F.col("mean")).alias("similarity"))
+def mean_similarity(vectors: DataFrame, group_col: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Each vector's mean (1 + cos) / 2 to the vectors of its group, itself included; to a zero vector it is 0.
+
+    As the mean cosine is the product with the sum of unit vectors, partial sums do it, without pairs.
+    """
+    size = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = vectors.select(group_col, id_col, size.alias("_size"), F.posexplode(vec_col).alias("_at", "_x")).where("_size > 0").select(group_col, id_col, "_at", (F.col("_x").cast("double") / F.col("_size")).alias("_u"))
+    total = unit.groupBy(group_col, "_at").agg(F.sum("_u").alias("_s"))
+    cosines = unit.join(total, [group_col, "_at"]).groupBy(group_col, id_col).agg(F.sum(F.col("_u") * F.col("_s")).alias("_c"))
+    count = vectors.groupBy(group_col).agg(F.count("*").alias("_n"), F.count_if(size > 0).alias("_m"))
+    joined = vectors.select(group_col, id_col).join(count, group_col).join(cosines, [group_col, id_col], "left")
+    return joined.select(id_col, group_col, F.coalesce((F.col("_m") + F.col("_c")) / 2 / F.col("_n"), F.lit(0.0)).alias("similarity"))

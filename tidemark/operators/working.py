@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import tokens
+from tidemark.functions.columns import blank_to_null, tokens
 
 
 def messages(episodes: DataFrame) -> DataFrame:
@@ -60,12 +60,62 @@ def pressure_plan(msgs: DataFrame, retrieved: DataFrame, task_tokens: int, budge
     return x.select("conv_id", total.cast("long").alias("tokens_before"), one.alias("clear_retrieved"), two.alias("summarise"), three.alias("evict_task"), left.cast("long").alias("tokens_after"))
 
 
-def render(items: DataFrame, keep: int = 5) -> DataFrame:
-    """``conv_id``, ``context``: the items (``conv_id``, ``id``, ``text``, ``relevance``) most relevant first, at most ``keep`` of each."""
-    w = Window.partitionBy("conv_id").orderBy(F.desc("relevance"), "id")
-    top = items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda s: F.concat(F.lit("- "), s["text"]))
-    return top.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("context"))
+def render(items: DataFrame) -> DataFrame:
+    """``conv_id``, ``context``: all items (``conv_id``, ``id``, ``text``, ``relevance``), most relevant first."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("relevance")).alias("r"), "id", "text"))), lambda s: F.concat(F.lit("- "), s["text"]))
+    return items.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("context"))
+
+
+def render_sections(context: DataFrame, memories: DataFrame, msgs: DataFrame) -> DataFrame:
+    """``conv_id``, ``rendered``: the prompt's sections in fixed order, those that are empty left out.
+
+    context: one row per conversation with ``conv_id``, ``system`` and ``task``; memories: ``conv_id``, ``id``,
+    ``text``, ``source``, ``relevance``; msgs as :func:`messages` gives them.  A conversation fits a
+    prompt, so its lines are gathered into one text.
+    """
+    said = F.transform(F.sort_array(F.collect_list(F.struct("seq", "role", "text"))), lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["text"]))
+    dialog = msgs.groupBy("conv_id").agg(F.array_join(said, "\n").alias("dialog"))
+    by_relevance = F.sort_array(F.collect_list(F.struct((-F.col("relevance")).alias("r"), "id", "text", "source")))
+    lines = F.transform(by_relevance, lambda m: F.concat(F.lit("- "), m["text"], F.lit(" (from "), m["source"], F.lit(")")))
+    found = memories.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("memories"))
+    joined = context.join(found, "conv_id", "left").join(dialog, "conv_id", "left")
+    sections = [("System Context", "system"), ("Current Task", "task"), ("Relevant Memories", "memories"), ("Conversation History", "dialog")]
+    parts = [F.concat(F.lit(f"# {title}\n"), blank_to_null(c)) for title, c in sections]
+    return joined.select("conv_id", F.concat_ws("\n\n", *parts).alias("rendered"))
+
+
+def offload_items(context: DataFrame, memories: DataFrame, msgs: DataFrame, keep: int = 2) -> DataFrame:
+    """All that may leave working memory: ``conv_id``, ``source``, ``content``, ``relevance``, ``priority`` (0 goes first).
+
+    Retrieved items, then messages but the last ``keep``, then the task; the system text never goes.
+    """
+    zero = memories.select("conv_id", "source", F.col("text").alias("content"), F.col("relevance").cast("double").alias("relevance"), F.lit(0).alias("priority"))
+    w = Window.partitionBy("conv_id").orderBy(F.desc("seq"))
+    old = msgs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > keep)
+    one = old.select("conv_id", F.concat(F.lit("dialog_"), "role").alias("source"), F.col("text").alias("content"), F.lit(0.5).alias("relevance"), F.lit(1).alias("priority"))
+    task = context.where("task is not null and task <> ''").select("conv_id", F.lit("task_context").alias("source"), F.col("task").alias("content"), F.lit(0.6).alias("relevance"), F.lit(2).alias("priority"))
+    return zero.unionByName(one).unionByName(task)
+
+
+def prompt_messages(rendered: DataFrame, msgs: DataFrame) -> DataFrame:
+    """``conv_id``, ``at``, ``role``, ``content``: the rendered context as system message, earlier turns, and the last message as the user's."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("seq"))
+    last = F.row_number().over(w) == 1
+    turns = msgs.select("conv_id", "seq", F.when(last, F.lit("user")).otherwise(F.col("role")).alias("role"), F.col("text").alias("content"))
+    head = rendered.select("conv_id", F.lit(0).cast("long").alias("seq"), F.lit("system").alias("role"), F.col("rendered").alias("content"))
+    return head.unionByName(turns).withColumnRenamed("seq", "at")
+
+
+def set_context(context: DataFrame, changes: DataFrame, column: str) -> DataFrame:
+    """Sets ``system`` or ``task`` of conversations (changes: ``conv_id``, ``value``); a null value clears it, new conversations are added."""
+    new = changes.groupBy("conv_id").agg(F.max("value").alias("_value"), F.lit(True).alias("_set"))
+    joined = context.join(new, "conv_id", "full")
+    return joined.withColumn(column, F.when(F.col("_set"), F.col("_value")).otherwise(F.col(column))).select(*context.columns)
+
+
+def cleared(rows: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Messages or retrieved items without those of the cleared conversations."""
+    return rows.join(conversations.select("conv_id").distinct(), "conv_id", "left_anti")
 
 
 def interaction_pairs(msgs: DataFrame) -> DataFrame:

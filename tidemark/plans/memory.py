@@ -124,14 +124,27 @@ def _(s, d):
     return T.fact_conflicts(table(s, d, "facts"), require_overlap=True)
 
 
-@query("apply_resolution", _LATEST_FACTS + f""",
-live AS (SELECT id, subject_id, predicate, recorded_at FROM one WHERE invalidated_at IS NULL),
-newest AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY recorded_at DESC, id) AS rn FROM live)
-SELECT id, TIMESTAMP '{NOW}' AS invalidated_at FROM newest WHERE rn > 1""")
+@query("apply_resolution", f"SELECT id, CASE WHEN id IN (SELECT id FROM facts WHERE confidence >= 0.5 AND predicate IS NOT NULL) THEN TIMESTAMP '{NOW}' ELSE invalidated_at END AS invalidated_at FROM facts")
+def _(s, d):
+    facts = table(s, d, "facts")
+    name = F.when(F.col("confidence") >= 0.5, "temporal_succession").otherwise("guess")  # no strategy: not applied
+    answer = F.concat(F.lit('{"strategy": "'), name, F.lit('", "invalidations": ["'), F.col("id"), F.lit('"]}'))
+    parsed = U.parse_resolution(facts.where("predicate is not null").select("id", answer.alias("answer")), "answer")
+    return T.apply_resolution(facts, parsed, NOW).select("id", "invalidated_at")
+
+
+@query("conflicting_pairs", _LATEST_FACTS + f""",
+live AS (SELECT id, subject_id, predicate, recorded_at, CASE WHEN nullif(object_id, '') IS NOT NULL THEN 'id ' || object_id ELSE 'value ' || nullif(object_value, '') END AS obj FROM one WHERE invalidated_at IS NULL)
+SELECT n.id AS new_id, o.id AS old_id FROM live n JOIN live o ON n.subject_id = o.subject_id AND n.predicate = o.predicate AND n.obj <> o.obj AND (o.recorded_at, o.id) < (n.recorded_at, n.id) WHERE n.recorded_at >= TIMESTAMP '{LATER}'""")
 def _(s, d):
     live = T.latest_facts(table(s, d, "facts")).where("invalidated_at is null")
-    older = E.newest_per(live, ["subject_id", "predicate"], 1 << 30, [F.desc("recorded_at"), F.asc("id")]).where("rank > 1").drop("rank")
-    return T.invalidate(older, older, NOW).select("id", "invalidated_at")
+    return T.conflicting_pairs(live, live.where(F.col("recorded_at") >= C.moment(LATER))).select("new_id", "old_id")
+
+
+@query("fact_by_id", _LATEST_FACTS + " SELECT id, subject_id, recorded_at FROM one WHERE confidence < 0.5")
+def _(s, d):
+    facts = T.latest_facts(table(s, d, "facts"))
+    return T.fact_by_id(table(s, d, "facts"), facts.where("confidence < 0.5").select("id")).select("id", "subject_id", "recorded_at")
 
 
 # ---------------------------------------------------------------- sources, sinks, ids
@@ -226,25 +239,22 @@ def _(s, d):
     return E.access_rollup(E.unique_entities(table(s, d, "entities")), log)
 
 
-_COMMUNITY = "com AS (SELECT lower(trim(entity_type)) AS community_id, list(id ORDER BY created_at, id) AS entity_ids FROM ent GROUP BY 1)"
-
-
 def _communities(s, d):
-    ent = E.unique_entities(table(s, d, "entities"))
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id"))), lambda x: x["id"])
-    return ent.groupBy(F.lower(F.trim("entity_type")).alias("community_id")).agg(ids.alias("entity_ids"))
+    """A row per member; a type is a community."""
+    return E.unique_entities(table(s, d, "entities")).select(F.lower(F.trim("entity_type")).alias("community_id"), "id")
 
 
-@query("community_members", _ONE_ENTITY + f", {_COMMUNITY}, listed AS (SELECT community_id, unnest(entity_ids) AS id, unnest(range(len(entity_ids))) AS place FROM com) SELECT community_id, place AS \"at\", l.id, name FROM listed l JOIN ent ON ent.id = l.id")
+@query("community_members", _ONE_ENTITY + " SELECT lower(trim(entity_type)) AS community_id, id, name, created_at FROM ent")
 def _(s, d):
-    return E.community_members(_communities(s, d), table(s, d, "entities"))
+    return E.member_names(_communities(s, d), table(s, d, "entities")).select("community_id", "id", "name", "created_at")
 
 
-@query("community_add", _ONE_ENTITY + f", {_COMMUNITY}, fresh AS (SELECT lower(trim(entity_type)) AS community_id, 'ent_new' AS id FROM ent GROUP BY 1) SELECT community_id, array_to_string(CASE WHEN list_contains(entity_ids, id) THEN entity_ids ELSE list_append(entity_ids, id) END, ',') AS ids FROM com JOIN fresh USING (community_id)")
+@query("community_add", _ONE_ENTITY + ", com AS (SELECT lower(trim(entity_type)) AS community_id, id FROM ent) SELECT community_id, count(DISTINCT id) AS n, bool_or(id = 'ent_new') AS added FROM (SELECT * FROM com UNION SELECT DISTINCT community_id, 'ent_new' FROM com UNION SELECT community_id, min(id) FROM com GROUP BY 1) GROUP BY 1")
 def _(s, d):
     com = _communities(s, d)
-    new = com.select("community_id", F.lit("ent_new").alias("id"))
-    return E.community_add(com, new).select("community_id", F.array_join("entity_ids", ",").alias("ids"))
+    there = com.groupBy("community_id").agg(F.min("id").alias("id"))  # members already
+    grown = E.add_members(com, com.select("community_id", F.lit("ent_new").alias("id")).unionByName(there))
+    return grown.groupBy("community_id").agg(F.count("*").alias("n"), F.max(F.col("id") == "ent_new").alias("added"))
 
 
 @query("entity_resolve", _ONE_ENTITY + """, k AS (SELECT id, lower(trim(name)) AS n, lower(trim(entity_type)) AS t FROM ent),
@@ -306,11 +316,11 @@ def _(s, d):
     return P.inverted_index(table(s, d, "episodes"), "keyword", "keywords").groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("index_lookup", f"WITH {_ONE_EPISODE} SELECT id, level FROM epi WHERE list_contains(tags, 'chat') OR list_contains(keywords, 'pottery')")
+@query("index_lookup", f"WITH {_ONE_EPISODE} SELECT id, level FROM epi WHERE list_contains(tags, 'masonry') OR list_contains(keywords, 'vault')")
 def _(s, d):
     epi = table(s, d, "episodes")
     index = P.inverted_index(epi, "keyword", "keywords").unionByName(P.inverted_index(epi, "tag", "tags"))
-    return P.index_lookup(index, epi, "tag", "chat").unionByName(P.index_lookup(index, epi, "keyword", "pottery")).select("id", "level").distinct()
+    return P.index_lookup(index, epi, "tag", "masonry").unionByName(P.index_lookup(index, epi, "keyword", "vault")).select("id", "level").distinct()
 
 
 @query("episode_access_rollup", f"WITH {_ONE_EPISODE}, log AS (SELECT source_episode_id AS id, count(*) AS n, max(recorded_at) AS seen FROM facts GROUP BY 1) SELECT e.id, coalesce(access_count, 0) + coalesce(n, 0) AS access_count, greatest(last_accessed, seen) AS last_accessed FROM epi e LEFT JOIN log l ON e.id = l.id")
@@ -379,9 +389,9 @@ def _starts(s, d):
 _BFS = f"WITH {_ONE_EPISODE}, {_ONE_LINK}, {_ENDS}, edges AS (SELECT DISTINCT episode_id, other_id FROM ends WHERE episode_id <> other_id), st AS (SELECT id AS start_id FROM epi ORDER BY access_count DESC NULLS LAST, id LIMIT 10), one AS (SELECT start_id, other_id AS episode_id FROM st JOIN edges ON episode_id = start_id)"
 
 
-@query("related_depth1", _BFS + " SELECT start_id, episode_id, 1::BIGINT AS distance FROM one")
+@query("related_depth1", f"WITH {_ONE_EPISODE}, {_ONE_LINK}, {_ENDS} SELECT DISTINCT episode_id AS start_id, other_id AS episode_id, 1::BIGINT AS distance FROM ends WHERE episode_id <> other_id AND episode_id IN (SELECT id FROM epi)")
 def _(s, d):
-    return L.neighbourhood(L.upserted(table(s, d, "episode_links")), _starts(s, d), 1)
+    return L.neighbourhood(L.upserted(table(s, d, "episode_links")), P.unique_episodes(table(s, d, "episodes")).select("id"), 1)
 
 
 @query("related_depth2", _BFS + ", two AS (SELECT DISTINCT start_id, e.other_id AS episode_id FROM one JOIN edges e ON e.episode_id = one.episode_id WHERE e.other_id <> start_id) SELECT start_id, episode_id, 1::BIGINT AS distance FROM one UNION ALL SELECT start_id, episode_id, 2 FROM two WHERE (start_id, episode_id) NOT IN (SELECT start_id, episode_id FROM one)")
@@ -391,7 +401,7 @@ def _(s, d):
 
 @query("link_components")
 def _(s, d):
-    links = L.upserted(table(s, d, "episode_links")).where("weight >= 0.9")
+    links = L.upserted(table(s, d, "episode_links"))
     return L.components(links.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
 
 
@@ -409,7 +419,7 @@ def _accessed(s, d):
     return P.unique_episodes(table(s, d, "episodes")).where("last_accessed is not null").select("id", F.col("last_accessed").alias("at"))
 
 
-_HOURS = 6
+_HOURS = 480
 _CO = f"""{_ONE_EPISODE}, acc AS (SELECT id, epoch_us(last_accessed) AS us FROM epi WHERE last_accessed >= TIMESTAMP '{NOW}' - INTERVAL {2 * _HOURS} HOUR),
 co AS (SELECT a.id AS a, b.id AS b FROM acc a JOIN acc b ON a.id < b.id AND abs(a.us - b.us) <= {_HOURS * C.HOUR_US})"""
 
@@ -420,26 +430,27 @@ def _(s, d):
 
 
 _FIRST = "f AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, min(id) AS first FROM lnk GROUP BY ALL)"
-_GROWN = f"""WITH {_ONE_LINK}, {_FIRST}, hit AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM lnk WHERE link_type IN ('temporal', 'causal')),
+_GROWN = f"""WITH {_CO}, {_ONE_LINK}, {_FIRST}, hit AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM co),
 grown AS (SELECT l.id, hit.a IS NOT NULL AND l.id = f.first AS strengthened, CASE WHEN hit.a IS NOT NULL AND l.id = f.first THEN least(10.0::DOUBLE, weight + 0.1::DOUBLE * ln(2 + weight)) ELSE weight END AS weight
   FROM lnk l JOIN f ON f.a = least(source_id, target_id) AND f.b = greatest(source_id, target_id) LEFT JOIN hit ON hit.a = f.a AND hit.b = f.b)"""
 
 
-def _pairs(links):
-    return links.where("link_type in ('temporal', 'causal')").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+def _pairs(s, d):
+    """Episodes that were accessed together."""
+    return L.coaccess_pairs(_accessed(s, d), NOW, _HOURS * C.HOUR_US)
 
 
 @query("link_strengthen", _GROWN + " SELECT id, round(weight, 9) AS weight, strengthened FROM grown")
 def _(s, d):
     links = L.upserted(table(s, d, "episode_links"))
-    return L.strengthened(links, _pairs(links)).select("id", F.round("weight", 9).alias("weight"), "strengthened")
+    return L.strengthened(links, _pairs(s, d)).select("id", F.round("weight", 9).alias("weight"), "strengthened")
 
 
 @query("link_maintenance", _GROWN + """, aged AS (SELECT strengthened, greatest(0.1::DOUBLE, weight * (1 - 0.1::DOUBLE)) AS new, weight AS old FROM grown)
 SELECT count(*) AS links_before, count(*) FILTER (WHERE strengthened) AS strengthened, count(*) FILTER (WHERE new <> old) AS decayed, count(*) FILTER (WHERE new < 0.15) AS pruned, count(*) FILTER (WHERE new >= 0.15) AS links_after FROM aged""")
 def _(s, d):
     links = L.upserted(table(s, d, "episode_links"))
-    return L.maintenance(links, _pairs(links), threshold=0.15)
+    return L.maintenance(links, _pairs(s, d), threshold=0.15)
 
 
 # ---------------------------------------------------------------- vectors
@@ -485,6 +496,11 @@ def _(s, d):
     return V.coherence(table(s, d, "embeddings"), "label").select("label", F.round("coherence", 6).alias("coherence"))
 
 
+@query("mean_similarity", f"SELECT a.vec_id, a.label, round(avg((1 + {_cos('a.embedding', 'b.embedding')}) / 2), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.vec_id, a.label")
+def _(s, d):
+    return V.mean_similarity(table(s, d, "embeddings"), "label").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
 _VEC = "vec AS (SELECT vec_id, embedding FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings)"
 
 
@@ -688,10 +704,20 @@ def _(s, d):
     return FD.cluster_semantic(table(s, d, "embeddings"), threshold=0.55)
 
 
-@query("should_abstract", f"WITH {_CLUSTERS}, st AS (SELECT parent_id, count(*) AS n, min(us) AS oldest_us FROM cl GROUP BY parent_id) SELECT parent_id, n, n >= 3 AND epoch_us(TIMESTAMP '{NOW}') - oldest_us >= 24 * 3600000000 AS ready FROM st")
+@query("should_abstract", f"WITH {_CLUSTERS}, {_VEC}, x AS (SELECT cl.parent_id, cl.id, us, v.embedding FROM cl, n, vec v WHERE v.vec_id = ('0x' || substr(md5(cl.id), 1, 6))::BIGINT % n.n), coh AS (SELECT a.parent_id, round(avg((1 + {_cos('a.embedding', 'b.embedding')}) / 2), 6) AS coherence FROM x a JOIN x b ON a.parent_id = b.parent_id AND a.id < b.id GROUP BY 1), st AS (SELECT parent_id, count(*) AS n, min(us) AS oldest_us FROM cl GROUP BY parent_id) SELECT parent_id, n, n >= 3 AND epoch_us(TIMESTAMP '{NOW}') - oldest_us >= 24 * 3600000000 AND coalesce(coherence, 1) >= 0.5 AS ready FROM st LEFT JOIN coh USING (parent_id)")
+def _(s, d):
+    vec = table(s, d, "embeddings")
+    rows = _with_vectors(_clusters(s, d), vec, vec.count())
+    stats = _clusters(s, d).groupBy("parent_id").agg(F.count("*").alias("n"), F.min("us").alias("oldest_us"))
+    joined = stats.join(V.coherence(rows, "parent_id").select("parent_id", F.round("coherence", 6).alias("coherence")), "parent_id")
+    return K.should_abstract(joined, NOW, coherence=0.5).select("parent_id", "n", "ready")
+
+
+@query("cluster_sequential")
 def _(s, d):
-    stats = _clusters(s, d).groupBy("parent_id").agg(F.count("*").alias("n"), F.min("us").alias("oldest_us")).withColumn("coherence", F.lit(None).cast("double"))
-    return K.should_abstract(stats, NOW).select("parent_id", "n", "ready")
+    vec = table(s, d, "embeddings")
+    rows = _with_vectors(P.unique_episodes(table(s, d, "episodes")).where("parent_id <> ''").select("id", "parent_id", C.micros("occurred_at").alias("us")), vec, vec.count())
+    return FD.cluster_sequential(rows, "parent_id", "id", "us", "embedding", threshold=0.5)
 
 
 @query("abstraction_pick", f"WITH {_ONE_EPISODE} SELECT id, occurred_at FROM epi WHERE level = 0 AND nullif(parent_id, '') IS NULL ORDER BY occurred_at NULLS LAST, id LIMIT 100")
@@ -700,28 +726,37 @@ def _(s, d):
     return rows.orderBy(F.asc_nulls_last("occurred_at"), "id").limit(100).select("id", "occurred_at")
 
 
-_PATTERNS = "pat AS (SELECT label AS pattern_id, list(vec_id ORDER BY vec_id) AS occurrences, count(*) AS n, 0.3::DOUBLE + label * 0.06::DOUBLE AS confidence FROM embeddings WHERE vec_id % 3 > 0 GROUP BY label)"
+_PATTERNS = f"""occ AS (SELECT DISTINCT coalesce(subject_id, '') || ' ' || coalesce(predicate, '') AS pattern_id, id FROM facts WHERE recorded_at < TIMESTAMP '{LATER}'),
+pat AS (SELECT pattern_id, count(*) AS n, round(least(1.0::DOUBLE, 0.3::DOUBLE + 0.01::DOUBLE * count(*)), 6) AS confidence FROM occ GROUP BY pattern_id),
+seen AS (SELECT DISTINCT coalesce(subject_id, '') || ' ' || coalesce(predicate, '') AS pattern_id, id FROM facts WHERE recorded_at >= TIMESTAMP '{AT}')"""
+
+
+def _occurrences(s, d, when):
+    pattern = F.concat_ws(" ", F.coalesce("subject_id", F.lit("")), F.coalesce("predicate", F.lit("")))
+    return table(s, d, "facts").where(when).select(pattern.alias("pattern_id"), "id").distinct()
 
 
 def _patterns(s, d):
-    vec = table(s, d, "embeddings").where("vec_id % 3 > 0")
-    return vec.groupBy(F.col("label").alias("pattern_id")).agg(F.sort_array(F.collect_list("vec_id")).alias("occurrences"), F.count("*").alias("n")).withColumn("confidence", 0.3 + F.col("pattern_id") * 0.06)
+    """What is said of a subject is a pattern, each fact an occurrence."""
+    occ = _occurrences(s, d, F.col("recorded_at") < C.moment(LATER))
+    return occ, occ.groupBy("pattern_id").agg(F.count("*").alias("n")).withColumn("confidence", F.round(F.least(F.lit(1.0), 0.3 + 0.01 * F.col("n")), 6))
 
 
-@query("pattern_strengthen", f"WITH {_PATTERNS}, f AS (SELECT label AS pattern_id, count(*) AS n_new FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 5 = 0 GROUP BY label) SELECT pattern_id, coalesce(n_new, 0) AS n_new, round(CASE WHEN n_new > 0 THEN least(1.0::DOUBLE, confidence + 0.1::DOUBLE * n_new) ELSE confidence END, 6) AS confidence FROM pat LEFT JOIN f USING (pattern_id)")
+@query("pattern_strengthen", f"WITH {_PATTERNS}, f AS (SELECT pattern_id, count(*) AS n_new FROM (SELECT * FROM seen EXCEPT SELECT * FROM occ) GROUP BY 1) SELECT pattern_id, coalesce(n_new, 0) AS n_new, round(CASE WHEN n_new > 0 THEN least(1.0::DOUBLE, confidence + 0.1::DOUBLE * n_new) ELSE confidence END, 6) AS confidence FROM pat LEFT JOIN f USING (pattern_id)")
 def _(s, d):
-    seen = table(s, d, "embeddings").where("vec_id % 5 = 0").groupBy(F.col("label").alias("pattern_id")).agg(F.collect_set("vec_id").alias("found"))
-    return K.strengthen(_patterns(s, d), seen)
+    occ, patterns = _patterns(s, d)
+    return K.strengthen_rows(patterns, occ, _occurrences(s, d, F.col("recorded_at") >= C.moment(AT))).select("pattern_id", "n_new", "confidence")
 
 
-@query("pattern_weaken", f"WITH {_PATTERNS}, hit AS (SELECT DISTINCT label AS pattern_id FROM embeddings WHERE vec_id % 3 > 0 AND vec_id % 97 = 1) SELECT pattern_id, round(CASE WHEN pattern_id NOT IN (SELECT pattern_id FROM hit) THEN least(confidence, greatest(0.1::DOUBLE, confidence - 0.05::DOUBLE)) ELSE confidence END, 6) AS confidence FROM pat")
+@query("pattern_weaken", f"WITH {_PATTERNS}, hit AS (SELECT DISTINCT pattern_id FROM occ WHERE id IN (SELECT id FROM seen)) SELECT pattern_id, round(CASE WHEN pattern_id NOT IN (SELECT pattern_id FROM hit) THEN least(confidence, greatest(0.1::DOUBLE, confidence - 0.05::DOUBLE)) ELSE confidence END, 6) AS confidence FROM pat")
 def _(s, d):
-    return K.weaken(_patterns(s, d), table(s, d, "embeddings").where("vec_id % 97 = 1").select(F.col("vec_id").alias("id")))
+    occ, patterns = _patterns(s, d)
+    return K.weaken_rows(patterns, occ, _occurrences(s, d, F.col("recorded_at") >= C.moment(AT)).select("id"))
 
 
 @query("pattern_strength", f"WITH {_PATTERNS} SELECT pattern_id, round(least(20.0::DOUBLE, (5 + 2 * sqrt(n)) * confidence), 6) AS strength, CASE WHEN n >= 10 THEN 'consolidated' WHEN n >= 3 THEN 'established' ELSE 'emerging' END AS stage FROM pat")
 def _(s, d):
-    p = _patterns(s, d)
+    _, p = _patterns(s, d)
     return p.select("pattern_id", F.round(K.pattern_strength(F.col("n").cast("double"), F.col("confidence")), 6).alias("strength"), K.pattern_lifecycle(F.col("n")).alias("stage"))
 
 
@@ -731,11 +766,11 @@ def _(s, d):
     return n.groupBy(K.pattern_lifecycle(F.col("n")).alias("stage")).agg(F.count("*").alias("n"))
 
 
-@query("pattern_match", f"WITH p AS (SELECT vec_id AS pattern_id, label, embedding FROM embeddings WHERE vec_id < 40), s AS (SELECT c.vec_id AS candidate_id, p.pattern_id, round((1 + {_cos('c.embedding', 'p.embedding')}) / 2, 9) AS similarity, row_number() OVER (PARTITION BY c.vec_id ORDER BY round((1 + {_cos('c.embedding', 'p.embedding')}) / 2, 9) DESC, p.pattern_id) AS rn FROM embeddings c JOIN p ON c.label = p.label) SELECT candidate_id, pattern_id, round(similarity, 6) AS similarity FROM s WHERE rn = 1 AND similarity >= 0.7")
+@query("pattern_match", f"WITH s AS (SELECT c.vec_id AS candidate_id, p.vec_id AS pattern_id, round((1 + {_cos('c.embedding', 'p.embedding')}) / 2, 9) AS similarity, row_number() OVER (PARTITION BY c.vec_id ORDER BY round((1 + {_cos('c.embedding', 'p.embedding')}) / 2, 9) DESC, p.vec_id) AS rn FROM embeddings c JOIN embeddings p ON c.label = p.label WHERE c.vec_id % 50 = 0) SELECT candidate_id, pattern_id, round(similarity, 6) AS similarity FROM s WHERE rn = 1 AND similarity >= 0.7")
 def _(s, d):
     vec = table(s, d, "embeddings")
-    cand = vec.select(F.col("vec_id").alias("candidate_id"), F.col("label").alias("pattern_type"), "embedding")
-    known = vec.where("vec_id < 40").select(F.col("vec_id").alias("pattern_id"), F.col("label").alias("pattern_type"), "embedding")
+    cand = vec.where("vec_id % 50 = 0").select(F.col("vec_id").alias("candidate_id"), F.col("label").alias("pattern_type"), "embedding")
+    known = vec.select(F.col("vec_id").alias("pattern_id"), F.col("label").alias("pattern_type"), "embedding")
     return K.match(cand, known).select("candidate_id", "pattern_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -825,20 +860,50 @@ def _(s, d):
     return W.interaction_pairs(_messages(s, d))
 
 
-_RENDER = _MESSAGES + ", top AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY tokens DESC, seq) AS rank FROM tok QUALIFY rank <= 5), ctx AS (SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY rank) AS context FROM top GROUP BY conv_id)"
+_SECTIONS = _MESSAGES + """, mem AS (SELECT conv_id, seq, text, role AS source, tokens AS relevance FROM tok WHERE role <> 'user'),
+m AS (SELECT conv_id, string_agg('- ' || text || ' (from ' || source || ')', chr(10) ORDER BY relevance DESC, seq) AS memories FROM mem GROUP BY conv_id),
+dlg AS (SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10) ORDER BY seq) AS dialog, max(seq) AS n FROM tok GROUP BY conv_id),
+ctx AS (SELECT conv_id, 'You remember.' AS system, CASE WHEN n > 2 THEN 'Talk of ' || conv_id END AS task FROM dlg),
+ren AS (SELECT conv_id, concat_ws(chr(10) || chr(10), '# System Context' || chr(10) || system, '# Current Task' || chr(10) || task, '# Relevant Memories' || chr(10) || nullif(memories, ''), '# Conversation History' || chr(10) || nullif(dialog, '')) AS rendered
+  FROM ctx LEFT JOIN m USING (conv_id) LEFT JOIN dlg USING (conv_id))"""
 
 
-def _rendered(msgs):
-    return W.render(msgs.select("conv_id", F.col("seq").alias("id"), "text", F.col("tokens").alias("relevance")))
+def _context(s, d):
+    """Messages, what is remembered beside them, and the system and task text of each conversation."""
+    msgs = _messages(s, d)
+    memories = msgs.where("role <> 'user'").select("conv_id", F.col("seq").alias("id"), "text", F.col("role").alias("source"), F.col("tokens").alias("relevance"))
+    size = msgs.groupBy("conv_id").agg(F.max("seq").alias("n"))
+    task = F.when(F.col("n") > 2, F.concat(F.lit("Talk of "), "conv_id"))
+    return msgs, memories, size.select("conv_id", F.lit("You remember.").alias("system"), task.alias("task"))
 
 
-@query("render_context", _RENDER + " SELECT conv_id, context FROM ctx")
+@query("render_sections", _SECTIONS + " SELECT conv_id, rendered FROM ren")
 def _(s, d):
-    return _rendered(_messages(s, d))
+    msgs, memories, context = _context(s, d)
+    return W.render_sections(context, memories, msgs)
 
 
-@query("assemble_prompt", _RENDER + ", lastm AS (SELECT conv_id, arg_max(text, seq) AS question, count(*) - 1 AS n_before FROM tok GROUP BY conv_id) SELECT conv_id, 'system: ' || context || chr(10) || 'user: ' || question AS prompt, n_before FROM ctx JOIN lastm USING (conv_id)")
+@query("render_context", _MESSAGES + " SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY tokens DESC, seq) AS context FROM tok GROUP BY conv_id")
 def _(s, d):
-    msgs = _messages(s, d)
-    last = msgs.groupBy("conv_id").agg(F.max_by("text", "seq").alias("question"), (F.count("*") - 1).alias("n_before"))
-    return _rendered(msgs).join(last, "conv_id").select("conv_id", F.concat(F.lit("system: "), "context", F.lit("\nuser: "), "question").alias("prompt"), "n_before")
+    return W.render(_messages(s, d).select("conv_id", F.col("seq").alias("id"), "text", F.col("tokens").alias("relevance")))
+
+
+@query("offload_items", _SECTIONS + """ SELECT conv_id, source, text AS content, relevance::DOUBLE AS relevance, 0 AS priority FROM mem
+UNION ALL SELECT conv_id, 'dialog_' || role, text, 0.5, 1 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) AS rn FROM tok) WHERE rn > 2 UNION ALL SELECT conv_id, 'task_context', task, 0.6, 2 FROM ctx WHERE task IS NOT NULL""")
+def _(s, d):
+    msgs, memories, context = _context(s, d)
+    return W.offload_items(context, memories, msgs)
+
+
+@query("assemble_prompt", _SECTIONS + """ SELECT conv_id, 0::BIGINT AS "at", 'system' AS role, rendered AS content FROM ren
+UNION ALL SELECT conv_id, seq, CASE WHEN seq = max(seq) OVER (PARTITION BY conv_id) THEN 'user' ELSE role END, text FROM tok""")
+def _(s, d):
+    msgs, memories, context = _context(s, d)
+    return W.prompt_messages(W.render_sections(context, memories, msgs), msgs)
+
+
+@query("set_context", _SECTIONS + " SELECT conv_id, system, CASE WHEN n % 2 = 0 THEN NULL ELSE 'new' END AS task FROM ctx JOIN dlg USING (conv_id)")
+def _(s, d):
+    msgs, _, context = _context(s, d)
+    value = F.when(F.max("seq") % 2 != 0, "new")
+    return W.set_context(context, msgs.groupBy("conv_id").agg(value.alias("value")), "task")

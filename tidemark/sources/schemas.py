@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
-_TYPES = {"string": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "timestamp_ntz": TimestampNTZType(), "array<string>": ArrayType(StringType())}
+_TYPES = {"string": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "timestamp_ntz": TimestampNTZType(), "array<string>": ArrayType(StringType()), "array<double>": ArrayType(DoubleType())}
 
 
 def _struct(ddl: str) -> StructType:
@@ -21,6 +21,11 @@ SCHEMAS: dict[str, StructType] = {
         "episode_links": "id string, source_id string, target_id string, link_type string, weight double, created_at timestamp_ntz",
         "retrieval_indices": "id string, index_type string, key string, episode_id string, note string",
         "communities": "id string, name string, description string, entity_ids array<string>, created_at timestamp_ntz, metadata string",
+        "community_members": "id string, community_id string",
         "access_log": "id string, at timestamp_ntz, kind string",
+        "vectors": "id string, kind string, level int, entity_type string, document string, embedding array<double>",
+        "patterns": "id string, description string, pattern_type string, confidence double, occurrences array<string>, embedding array<double>, first_seen timestamp_ntz, last_seen timestamp_ntz",
     }.items()
 }
+#: Keys other than ``id``; None makes a log, all of whose rows count.
+KEYS: dict[str, str | None] = {"access_log": None}
