@@ -403,15 +403,21 @@ def near_duplicates(
     (``text_classes`` has the members), so copies of a third of all rows give no square of them.
     """
     sketch = materialise(sketches(df, id_col, list(text_cols), least_words))
-    alike = alike_texts(sketch, threshold, bands, rows, frequent).select("text_a", "text_b")
-    members = sketch.select("id", "text", "copy").distinct()
+    alike = materialise(alike_texts(sketch, threshold, bands, rows, frequent).select("text_a", "text_b"))
+    members = sketch.select("id", "text", "copy")
     return expand_classes(members, ["text"], alike, expand)
 
 
 def expand_classes(members: DataFrame, key: list[str], alike: DataFrame, expand: int) -> DataFrame:
-    """``id_a`` < ``id_b`` from pairs of classes (key columns with _a and _b) and the members (``id``, key and ``copy``) of each class."""
-    sized = standing_ids(members, key, expand)
-    standing = sized.where("stands").drop("stands", "first").distinct()
+    """``id_a`` < ``id_b`` from pairs of classes (key columns with _a and _b) and the members (``id``, key and ``copy``) of each class.
+
+    Most texts are like no other: members of classes with a pair or a second member are kept first, and written once.
+    """
+    repeated = members.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    ends = [alike.select(*(F.col(f"{k}_{side}").alias(k) for k in key)) for side in "ab"]
+    asked = repeated.unionByName(ends[0]).unionByName(ends[1]).distinct()
+    sized = materialise(standing_ids(materialise(members.join(asked, key, "left_semi").distinct()), key, expand))
+    standing = materialise(sized.where("stands").select("id", *key).distinct())
     classes = standing.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     one, two = (standing.select(F.col("id").alias(name), *(F.col(k).alias(f"{k}_{side}") for k in key)) for name, side in (("one", "a"), ("two", "b")))
     equal = classes.select(*(F.col(k).alias(f"{k}_{side}") for side in "ab" for k in key))
