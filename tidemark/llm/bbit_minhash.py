@@ -48,6 +48,9 @@ from tidemark.sources.tables import materialise, shuffle_partitions
 WORD = re.compile(r"[^\W_]+")
 #: A band entry on its way: within a part 32 bits tell keys apart (a chance meeting only costs a comparison).
 _ENTRY = np.dtype([("key", "<u4"), ("text", "<u8"), ("sig", "<u8")])
+#: The same packed to travel: of a text 48 bits, its code; texts that share one are told apart by the exact check.
+_PACKED = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<u2"), ("sig", "<u8")])
+_CODE = (1 << 48) - 1
 _FLUSH = 1_500_000  # entries held before they are handed on
 #: Bytes of entries that one task gathers.
 PART_BYTES = 16 << 20
@@ -283,8 +286,8 @@ def _entries(sketch: DataFrame, common: list[tuple[int, int]], bands: int, rows:
             key, text, sig = banded.of(batch)
             if len(hot):
                 key, text, sig = _dealt(key, text, sig, (hot, groups))
-            out = np.empty(len(key), _ENTRY)
-            out["key"], out["text"], out["sig"] = key & np.uint64(0xFFFFFFFF), text, sig
+            out = np.empty(len(key), _PACKED)
+            out["key"], out["low"], out["high"], out["sig"] = key & np.uint64(0xFFFFFFFF), text & np.uint64(0xFFFFFFFF), (text >> np.uint64(32)) & np.uint64(0xFFFF), sig
             owners.append((key >> np.uint64(32)) % np.uint64(parts))
             held.append(out)
             n += len(out)
@@ -335,19 +338,22 @@ def _pair_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def candidates(sketch: DataFrame, bands: int, rows: int, frequent: float, least: float, block: int = BLOCK, sample: int = SAMPLE, seen: int = SEEN) -> DataFrame:
-    """Distinct pairs of texts (``text_a`` < ``text_b``) with an equal band key and near signatures."""
+    """Distinct pairs of texts' codes (``code_a`` < ``code_b``) with an equal band key and near signatures."""
     n_texts, common = sketch.count(), frequent_words(sketch, frequent)
     crowded = crowded_keys(sketch, common, bands, rows, n_texts, block, sample, seen)
     n_entries = n_texts * bands + sum(n * n for n in crowded.values()) * (block // 2)
-    parts = max(shuffle_partitions(sketch.sparkSession), -(-n_entries * _ENTRY.itemsize // PART_BYTES))
+    parts = max(shuffle_partitions(sketch.sparkSession), -(-n_entries * _PACKED.itemsize // PART_BYTES))
     packed = _entries(sketch, common, bands, rows, parts, crowded)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(blob, _ENTRY) for batch in batches for blob in batch.column(1).to_pylist()]
+        held = [np.frombuffer(blob, _PACKED) for batch in batches for blob in batch.column(1).to_pylist()]
         if not held:
             return
+        packed = np.concatenate(held)
+        whole = np.empty(len(packed), _ENTRY)
+        whole["key"], whole["sig"], whole["text"] = packed["key"], packed["sig"], packed["high"].astype(np.uint64) << np.uint64(32) | packed["low"]
         long: list[np.ndarray] = []
-        for pairs in _compare_sorted(np.concatenate(held), least, block, long):
+        for pairs in _compare_sorted(whole, least, block, long):
             yield _pair_batch(pairs)
         for run in long:  # a crowded key: every pair of its blocks becomes a task of the next stage
             cut = [run[i : i + block] for i in range(0, len(run), block)]
@@ -375,17 +381,18 @@ def candidates(sketch: DataFrame, bands: int, rows: int, frequent: float, least:
     schema = "text_a long, text_b long, left binary, right binary"
     met = materialise(packed.repartitionById(parts, F.col("part")).mapInArrow(join, schema))
     crowded = met.where("left is not null").select("left", "right").repartition(parts).mapInArrow(cross, schema)
-    return met.where("left is null").unionByName(crowded).select("text_a", "text_b").distinct()
+    return met.where("left is null").unionByName(crowded).select(F.col("text_a").alias("code_a"), F.col("text_b").alias("code_b")).distinct()
 
 
 def alike_texts(sketch: DataFrame, threshold: float, bands: int, rows: int, frequent: float) -> DataFrame:
     """Pairs of different texts whose word sets are alike, with ``similarity``; exact, from the candidates."""
     # the signature's standard deviation at the threshold is below 0.12: 0.36 under it loses one pair in a thousand
     near = materialise(candidates(sketch, bands, rows, frequent, threshold - 0.36))
-    met = near.select(F.col("text_a").alias("text")).unionByName(near.select(F.col("text_b").alias("text"))).distinct()
-    sets = sketch.select("text", "words").join(met, "text", "left_semi").groupBy("text").agg(F.first("words").alias("words"))
-    one = near.join(sets.select(F.col("text").alias("text_a"), F.col("words").alias("words_a")), "text_a")
-    two = one.join(sets.select(F.col("text").alias("text_b"), F.col("words").alias("words_b")), "text_b")
+    code = F.col("text").bitwiseAND(_CODE)
+    met = near.select(F.col("code_a").alias("code")).unionByName(near.select(F.col("code_b").alias("code"))).distinct()
+    sets = sketch.select(code.alias("code"), "text", "words").join(met, "code", "left_semi").groupBy("text").agg(F.first("words").alias("words")).withColumn("code", code)
+    one = near.join(sets.select(F.col("code").alias("code_a"), F.col("text").alias("text_a"), F.col("words").alias("words_a")), "code_a")
+    two = one.join(sets.select(F.col("code").alias("code_b"), F.col("text").alias("text_b"), F.col("words").alias("words_b")), "code_b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     judged = two.select("text_a", "text_b", shared.alias("shared"), (F.size("words_a") + F.size("words_b") - shared).alias("either"))
     return judged.where(F.col("shared") >= F.col("either") * threshold - 1e-9).select("text_a", "text_b", (F.col("shared") / F.col("either")).alias("similarity"))
