@@ -171,7 +171,16 @@ class Rule:
         return [self.rule(p) for p in prompts]
 
 
-def test_ingest_takes_every_step(spark, at, tmp_path):
+@pytest.fixture
+def one_partition(spark):
+    """Many small jobs: one partition each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ingest_takes_every_step(spark, at, tmp_path, one_partition):
     store = open_store(spark, str(tmp_path))
     text = "filler words " * 12
     rows = [("c", 1, f"Rosa works at Acme {text}", "noted", at(1)), ("c", 2, f"Rosa works at Bolt {text}", "noted", at(2)), ("c", 3, "hi", "ho", at(3))]
@@ -206,7 +215,7 @@ def test_ingest_takes_every_step(spark, at, tmp_path):
     assert report.community_members == 2 and {(r.id, r.community_id) for r in store.read("community_members").collect()} == {(i, "com_" + min(held[0].subject_id, held[0].object_id)) for i in (held[0].subject_id, held[0].object_id)}
 
 
-def test_commands(spark, at, tmp_path):
+def test_commands(spark, at, tmp_path, one_partition):
     store = open_store(spark, str(tmp_path / "s"))
     said = cli.chat(store, "What of the masonry vault? " * 20, str(at(1)), [("user", "hello"), ("assistant", "yes")], system="Be kind.")
     assert said.startswith("system: # System Context\nBe kind.") and "User: hello" in said and store.read("episodes").count() == 1
