@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -308,3 +309,21 @@ def test_few_shapes_hold_a_spam_page():
     assert share > 0.9 and kind == "tag" and 1 <= shapes <= 2
     assert LS.spam_share("The council of Markil was delayed before a large gathering, and the\nlarge school remains as it was.", [], [], [])[2] == 0
     assert LS.spam_share("angebote-heute.de billig\nwww.x.example\nkauf-jetzt.co.uk\n" * 4, [], [], [])[1] == "link"
+
+
+def test_a_worker_holds_one_shard_and_bounded_memories(spark, tmp_path):
+    rows = spark.range(40, numPartitions=1).selectExpr("id", "repeat('x', 100) AS page")
+    rows.write.parquet(str(tmp_path / "rows"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    with PI._one_shard_at_a_time(spark):
+        assert {r.n for r in spark.read.parquet(str(tmp_path / "rows")).mapInArrow(sizes, "n long").collect()} == {1}
+    assert spark.conf.get(key) == before
+    assert [b.num_rows for b in PI._sliced(iter([pa.RecordBatch.from_pydict({"a": [1, 2, 3]})]), 2)] == [2, 1]
+    remembered = [f.cache_info().maxsize for f in (PI.clean, PI.fold, PI._places, PI._letters, PI.same_word, PI._record)]
+    assert sum(remembered) + PI.FOLDED <= 350_000  # about 300 bytes each

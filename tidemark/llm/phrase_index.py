@@ -32,11 +32,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
@@ -61,18 +62,22 @@ WINDOW_BITS = 12.0
 #: A smaller collection is taken to have so many pages, as shares of few pages say nothing of rarity.
 LEAST_PAGES = 1024
 #: Most postings intersected at once.
-_SLICE = 2_000_000
+_SLICE = 500_000
 #: Most item words whose rare terms are sent to the shards at once.
 BLOCK = 1_000_000
 #: Words that stand together around a shared rare word before a walk over adverts is tried from it.
 TOGETHER = 3
+#: Words a worker remembers in the form they are indexed; it and the ``lru_cache`` sizes bound a worker's memory, not what is found.
+FOLDED = 100_000
+#: Pages turned into Python objects at once.
+_PAGES = 128
 #: Lines that may be passed over in one place whatever stands beside them.
 SKIP_LINES = 14
 #: Words that must stand together, short adverts aside, before any number of lines is passed over.
 LEAD = 7
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def clean(word: str) -> str:
     """Lower case, without accents and anything but letters and digits."""
     word = word.lower().replace("ſ", "s").replace("ß", "ss")
@@ -81,7 +86,7 @@ def clean(word: str) -> str:
     return _STRIP.sub("", word)
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def fold(word: str) -> str:
     """The form under which a cleaned word is indexed."""
     return word.replace("rn", "m").translate(_FOLD)
@@ -94,7 +99,7 @@ class Folder(dict):
         import xxhash
 
         word = clean(raw)
-        if len(self) > 250_000:
+        if len(self) > FOLDED:
             self.clear()
         self[raw] = out = (word, xxhash.xxh32_intdigest(fold(word)) if word else 0)
         return out
@@ -125,6 +130,8 @@ def page_tokens(lines: list[str], folder: Folder) -> tuple[list[int], str]:
 
 #: Words of a shard: bounds what a task holds while it intersects postings.
 _SHARD_WORDS = 600_000
+#: Bytes of a written row group, about one shard: bounds what a task holds while it writes and reads shards.
+_ROW_GROUP = 16 << 20
 
 
 def index_shards(df: DataFrame, id_col: str, text_col: str, boxes_col: str | None) -> DataFrame:
@@ -149,7 +156,7 @@ def index_shards(df: DataFrame, id_col: str, text_col: str, boxes_col: str | Non
             blobs = [terms.tobytes(), counts.astype(np.int32).tobytes(), doc_at[order].tobytes(), pos[order].tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(kind)), pa.array([texts], pa.list_(pa.string())), *(pa.array([b], pa.binary()) for b in blobs)], names=["docs", "pages", "terms", "counts", "doc_at", "pos"])
 
-        for batch in batches:
+        for batch in _sliced(batches, _PAGES):
             kind = batch.column(0).type
             columns = [batch.column(k).to_pylist() for k in range(5)]
             for doc, text, a, b, c in zip(*columns, strict=True):
@@ -168,6 +175,27 @@ def index_shards(df: DataFrame, id_col: str, text_col: str, boxes_col: str | Non
     return pages(df, id_col, text_col, boxes_col).mapInArrow(run, f"docs array<{id_type}>, pages array<string>, terms binary, counts binary, doc_at binary, pos binary")
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+@contextmanager
+def _one_shard_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside read and send each shard by itself: all of a partition's shards would stand in memory several times."""
+    sizes = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _posting_ranges(row: dict, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each asked term: where its postings begin in the shard and how many there are."""
     terms, counts = np.frombuffer(row["terms"], np.uint32), np.frombuffer(row["counts"], np.int32).astype(np.int64)
@@ -214,7 +242,7 @@ def document_frequency(shards: DataFrame, asked: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(wanted), np.int64)
-        for batch in batches:
+        for batch in _sliced(batches, 1):
             for row in batch.to_pylist():
                 start, count, _ = _posting_ranges(row, wanted)
                 doc_at = np.frombuffer(row["doc_at"], np.int32)
@@ -407,7 +435,7 @@ def candidates(shards: DataFrame, anchors: list[tuple], n_pages: int, id_type: s
         return p[heads], [list(zip(q[i:j].tolist(), a[i:j].tolist(), strict=True)) for i, j in zip(heads, ends, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, 1):
             kind = batch.schema.field("docs").type.value_type
             for row in batch.to_pylist():
                 pairs, hits = found_in(row)
@@ -416,7 +444,7 @@ def candidates(shards: DataFrame, anchors: list[tuple], n_pages: int, id_type: s
                 yield pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(number_of), met], names=["doc_id", "item_id", "hits"])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, 1):
             kind = batch.schema.field("docs").type.value_type
             for row in batch.to_pylist():
                 pairs, hits = found_in(row)
@@ -440,7 +468,7 @@ def candidates(shards: DataFrame, anchors: list[tuple], n_pages: int, id_type: s
     return shards.mapInArrow(checked, f"doc_id {id_type}, item_id {item_type}, words int")
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def _places(word: str) -> dict[str, int]:
     """Where each letter stands in the word, as bits."""
     out: dict[str, int] = {}
@@ -468,7 +496,7 @@ def _distance(a: str, b: str, most: int) -> int:
     return min(cost, most + 1)
 
 
-@lru_cache(100_000)
+@lru_cache(50_000)
 def _letters(word: str) -> int:
     bits = 0
     for c in word:
@@ -476,7 +504,7 @@ def _letters(word: str) -> int:
     return bits
 
 
-@lru_cache(100_000)
+@lru_cache(50_000)
 def same_word(a: str, b: str) -> bool:
     """Whether b may be a misread a."""
     if a == b:
@@ -498,7 +526,7 @@ def same_word(a: str, b: str) -> bool:
 _EDITS = [-1, -1, -1, 1, 1, 1, 2, 2, 2]
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _record(word: str) -> tuple[str, str, int, int, int, int]:
     """The word, its folded form, the letters of both as bits, and both lengths: to tell most unlike words cheaply."""
     folded = fold(word)
@@ -678,7 +706,8 @@ def leaked_passages(
     least_words: int = 20, per_window: int = 5,
 ) -> DataFrame:
     """``doc_id``, ``item_id``, ``words`` of each page that holds ``least_words`` consecutive words of an item."""
-    shards = materialise(index_shards(docs, doc_id, doc_text, boxes))
+    spark = docs.sparkSession
+    shards = materialise(index_shards(docs, doc_id, doc_text, boxes), row_group=_ROW_GROUP)
     terms = materialise(item_terms(items, item_id, item_text))
     n_pages = shards.agg(F.sum(F.size("docs"))).first()[0] or 0
     n_blocks = max(1, -(-terms.count() // BLOCK))
@@ -688,8 +717,11 @@ def leaked_passages(
         own = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block
         some = terms.where(own) if n_blocks > 1 else terms
         asked = [r.term for r in some.select("term").distinct().collect()]  # at most about BLOCK terms
-        anchors = [tuple(r) for r in rare_anchors(some, document_frequency(shards, asked), least_words, per_window, n_pages).select("item_id", "at", "term", "df").collect()]
+        with _one_shard_at_a_time(spark):
+            frequency = materialise(document_frequency(shards, asked))
+        anchors = [tuple(r) for r in rare_anchors(some, frequency, least_words, per_window, n_pages).select("item_id", "at", "term", "df").collect()]
         whole = [tuple(r) for r in (texts.where(own) if n_blocks > 1 else texts).collect()]  # the texts of those terms
-        part = candidates(shards, anchors, n_pages, dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id], whole, least_words)
+        with _one_shard_at_a_time(spark):
+            part = materialise(candidates(shards, anchors, n_pages, dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id], whole, least_words))
         found = found.unionByName(part) if found is not None else part
     return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

@@ -33,15 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, partition_by: tuple[str, ...] = (), row_group: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has no lineage beyond the files, so a lost executor costs only
     the tasks that were running, and a table that is used twice is computed once.
+    Rows of many megabytes need a small ``row_group``, as a task holds one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
+    if row_group:  # bytes
+        writer = writer.option("parquet.block.size", row_group)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
