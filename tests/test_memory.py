@@ -330,3 +330,40 @@ def test_sections_leave_out_what_is_empty(spark):
     assert left == [("a", 0, f"m{k}") for k in range(7)] + [("b", 1, "hi"), ("b", 2, "T")]
     assert {r.conv_id: r.task for r in W.set_context(context, spark.createDataFrame([("b", None), ("c", "new")], "conv_id string, value string"), "task").collect()} == {"a": "", "b": None, "c": "new"}
     assert W.cleared(msgs, context.where("conv_id = 'b'")).count() == 0
+
+
+def _times(at):
+    """Accesses of 40 ids, some once, some many times, with equal and far times among them."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"e{i:02}", at(0, 0, rng.choice([0, 0, 300, rng.randrange(-700, 2500)]))) for i in range(40) for _ in range(1 if i % 3 else 5)] + [(None, at(0))]
+    start = at(0, 0, -600)
+    want = {(a, b) for a, x in rows for b, y in rows if a and b and a < b and x >= start and y >= start and abs((x - y).total_seconds()) <= 300}
+    return rows, want
+
+
+@pytest.mark.parametrize("crowd", [1024, 3])
+def test_coaccess_of_repeated_accesses_and_crowded_moments(spark, at, monkeypatch, crowd):
+    monkeypatch.setattr(L, "_ROWS", crowd)
+    rows, want = _times(at)
+    got = [tuple(r) for r in L.coaccess_pairs(spark.createDataFrame(rows, "id string, at timestamp_ntz"), str(at(0)), 300_000_000).collect()]
+    assert set(got) == want and len(got) == len(want)
+    instant = {(a, b) for a, x in rows for b, y in rows if a and b and a < b and x == y and x >= at(0)}
+    assert {tuple(r) for r in L.coaccess_pairs(spark.createDataFrame(rows, "id string, at timestamp_ntz"), str(at(0)), 0).collect()} == instant
+
+
+def test_pairs_of_single_accesses_are_not_gathered(spark, at):
+    df = spark.createDataFrame([(f"e{i}", at(0, 0, i)) for i in range(9)], "id string, at timestamp_ntz")
+    plan = L.coaccess_pairs(df, str(at(0)), 300_000_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith("Aggregate") and "Union" not in plan
+
+
+def test_linked_pairs_are_found_without_the_others(spark, at):
+    rows, want = _times(at)
+    ends = [(a, b) for i, (a, b) in enumerate((f"e{i:02}", f"e{j:02}") for i in range(40) for j in range(40)) if i % 7 == 0]
+    links = spark.createDataFrame(ends, "source_id string, target_id string")
+    df = spark.createDataFrame(rows, "id string, at timestamp_ntz")
+    got = L.coaccessed_links(links, df, str(at(0)), 300_000_000)
+    assert sorted(map(tuple, got.collect())) == sorted({(min(e), max(e)) for e in ends} & want)
+    assert {tuple(r) for r in L.coaccessed_links(links, df, str(at(0)), 0).collect()} == {(min(e), max(e)) for e in ends} & {(a, b) for a, x in rows for b, y in rows if a and b and a < b and x == y and x >= at(0)}

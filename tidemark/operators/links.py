@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import latest
-from tidemark.sources.tables import materialise
+from tidemark.functions.columns import latest, micros, moment
+from tidemark.sources.tables import materialise, shuffle_partitions
 
 
 def upserted(links: DataFrame) -> DataFrame:
@@ -71,20 +71,61 @@ def pruned(links: DataFrame, threshold: float = 0.1) -> DataFrame:
     return links.where(F.col("weight") >= threshold)
 
 
+def _spans(accessed: DataFrame, now: str, window_us: int, width: int) -> DataFrame:
+    """The accesses of the last two windows, by id and bucket of ``width``: ``id``, ``bucket``, ``lo``, ``hi`` (first and last, in microseconds).
+
+    Of two ids' accesses in different buckets the last of the one and the first of the other are nearest.
+    """
+    recent = accessed.where(F.col("at") >= F.timestamp_micros(F.unix_micros(moment(now).cast("timestamp")) - 2 * window_us).cast("timestamp_ntz"))
+    rows = recent.where("id is not null").select("id", micros("at").alias("us"))
+    return rows.groupBy("id", F.floor(F.col("us") / width).alias("bucket")).agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+
+
+#: Buckets in a window, and rows of a bucket that are met at once: a row is sent once for so many pairs.
+_STEPS, _ROWS = 4, 1024
+
+
 def coaccess_pairs(accessed: DataFrame, now: str, window_us: int) -> DataFrame:
     """Unordered pairs of episodes accessed within ``window_us`` of each other, in the last two windows.
 
-    A range join: each access looks into its own bucket of the window's width and the
-    next one, by an equality on the bucket; no cross join.  accessed: ``id``, ``at``.
+    A range join: each access looks into its own bucket of a part of the window and the next
+    ones, by an equality; crowded buckets are dealt into blocks.  Ids in one bucket only, as
+    all that were accessed once, meet once, so their pairs are never gathered to be told
+    apart; only the pairs of other ids are.  accessed: ``id``, ``at``.
     """
-    from tidemark.functions.columns import micros, moment
-
-    recent = accessed.where(F.col("at") >= F.timestamp_micros(F.unix_micros(moment(now).cast("timestamp")) - 2 * window_us).cast("timestamp_ntz"))
-    rows = recent.select("id", micros("at").alias("us")).distinct().withColumn("bucket", F.floor(F.col("us") / window_us))
-    left = rows.select(F.col("id").alias("a"), F.col("us").alias("us_a"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    right = rows.select(F.col("id").alias("b"), F.col("us").alias("us_b"), "bucket")
-    met = left.join(right, "bucket").where((F.col("a") != F.col("b")) & (F.abs(F.col("us_a") - F.col("us_b")) <= window_us) & ((F.col("us_a") < F.col("us_b")) | ((F.col("us_a") == F.col("us_b")) & (F.col("a") < F.col("b")))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    width = max(1, -(-window_us // _STEPS))
+    spans = _spans(accessed, now, window_us, width)
+    several = F.count("*").over(Window.partitionBy("id")) > 1
+    rows = materialise(spans.withColumn("several", several))
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / _ROWS).alias("blocks"))
+    n, again = rows.agg(F.count("*"), F.coalesce(F.bool_or("several"), F.lit(False))).first()
+    tasks = max(shuffle_partitions(rows.sparkSession), -(-n // _ROWS))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        ahead = left.select(F.col("id").alias("a"), F.col("bucket").alias("own"), "hi", F.explode(F.sequence("bucket", F.col("bucket") + _STEPS)).alias("bucket"))
+        sent = ahead.join(blocks, "bucket").select("a", "own", "hi", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        dealt = right.join(blocks, "bucket").select(F.col("id").alias("b"), "lo", "bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+        # a number of tasks of their own: few bytes are sent, but many pairs follow
+        key = ["bucket", "block"]
+        joined = sent.repartition(tasks, *key).join(dealt.repartition(tasks, *key).hint("shuffle_hash"), key)
+        same, later = (F.col("own") == F.col("bucket")) & (F.col("a") < F.col("b")), (F.col("own") < F.col("bucket")) & (F.col("a") != F.col("b")) & (F.col("lo") - F.col("hi") <= window_us)
+        return joined.where(same | later).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    once, more = rows.where("not several"), rows.where("several")
+    pairs = met(once, once)
+    if again:
+        pairs = pairs.unionByName(met(more, rows).unionByName(met(once, more)).distinct())
+    return pairs
+
+
+def coaccessed_links(links: DataFrame, accessed: DataFrame, now: str, window_us: int) -> DataFrame:
+    """Those of :func:`coaccess_pairs` that some link joins; only the links' own ends are looked up, so no other pair is formed."""
+    spans = _spans(accessed, now, window_us, max(1, window_us))
+    ties = links.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).where("source_id <> target_id").distinct()
+    one, two = (spans.select(F.col("id").alias(c), F.col("bucket").alias(f"{c}_bucket"), F.col("lo").alias(f"{c}_lo"), F.col("hi").alias(f"{c}_hi")) for c in ("a", "b"))
+    both = ties.join(one, "a").join(two, "b")
+    near = (F.col("a_bucket") == F.col("b_bucket")) | F.when(F.col("a_bucket") < F.col("b_bucket"), F.col("b_lo") - F.col("a_hi") <= window_us).otherwise(F.col("a_lo") - F.col("b_hi") <= window_us)
+    return both.where(near).select("a", "b").distinct()
 
 
 def strengthened(links: DataFrame, pairs: DataFrame, cap: float = 10.0) -> DataFrame:
