@@ -207,7 +207,7 @@ def run_cycle(store: Store, now: str, window_hours: int = 1, rate: float = 0.1,
 
     links = L.upserted(store.read("episode_links"))
     log = store.read("access_log").where("kind = 'episode'").select("id", "at")
-    pairs = L.coaccess_pairs(log, now, window_hours * 3_600_000_000)
+    pairs = L.coaccessed_links(links, log, now, window_hours * 3_600_000_000)
     aged = materialise(L.decayed(L.strengthened(links, pairs), rate, floor))
     report = L.maintenance_report(aged, threshold).first()
     store.append("episode_links", aged.where(F.col("weight") >= threshold))

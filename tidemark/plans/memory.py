@@ -435,22 +435,22 @@ grown AS (SELECT l.id, hit.a IS NOT NULL AND l.id = f.first AS strengthened, CAS
   FROM lnk l JOIN f ON f.a = least(source_id, target_id) AND f.b = greatest(source_id, target_id) LEFT JOIN hit ON hit.a = f.a AND hit.b = f.b)"""
 
 
-def _pairs(s, d):
-    """Episodes that were accessed together."""
-    return L.coaccess_pairs(_accessed(s, d), NOW, _HOURS * C.HOUR_US)
+def _pairs(s, d, links):
+    """Linked episodes that were accessed together."""
+    return L.coaccessed_links(links, _accessed(s, d), NOW, _HOURS * C.HOUR_US)
 
 
 @query("link_strengthen", _GROWN + " SELECT id, round(weight, 9) AS weight, strengthened FROM grown")
 def _(s, d):
     links = L.upserted(table(s, d, "episode_links"))
-    return L.strengthened(links, _pairs(s, d)).select("id", F.round("weight", 9).alias("weight"), "strengthened")
+    return L.strengthened(links, L.coaccess_pairs(_accessed(s, d), NOW, _HOURS * C.HOUR_US)).select("id", F.round("weight", 9).alias("weight"), "strengthened")
 
 
 @query("link_maintenance", _GROWN + """, aged AS (SELECT strengthened, greatest(0.1::DOUBLE, weight * (1 - 0.1::DOUBLE)) AS new, weight AS old FROM grown)
 SELECT count(*) AS links_before, count(*) FILTER (WHERE strengthened) AS strengthened, count(*) FILTER (WHERE new <> old) AS decayed, count(*) FILTER (WHERE new < 0.15) AS pruned, count(*) FILTER (WHERE new >= 0.15) AS links_after FROM aged""")
 def _(s, d):
     links = L.upserted(table(s, d, "episode_links"))
-    return L.maintenance(links, _pairs(s, d), threshold=0.15)
+    return L.maintenance(links, _pairs(s, d, links), threshold=0.15)
 
 
 # ---------------------------------------------------------------- vectors
