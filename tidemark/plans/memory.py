@@ -443,7 +443,7 @@ def _pairs(s, d, links):
 @query("link_strengthen", _GROWN + " SELECT id, round(weight, 9) AS weight, strengthened FROM grown")
 def _(s, d):
     links = L.upserted(table(s, d, "episode_links"))
-    return L.strengthened(links, L.coaccess_pairs(_accessed(s, d), NOW, _HOURS * C.HOUR_US)).select("id", F.round("weight", 9).alias("weight"), "strengthened")
+    return L.strengthened(links, _pairs(s, d, links)).select("id", F.round("weight", 9).alias("weight"), "strengthened")
 
 
 @query("link_maintenance", _GROWN + """, aged AS (SELECT strengthened, greatest(0.1::DOUBLE, weight * (1 - 0.1::DOUBLE)) AS new, weight AS old FROM grown)
