@@ -235,3 +235,21 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(ValueError):
         shared_dir(type("S", (), {"conf": Conf()})())
+
+
+class _Changes:
+    def answer(self, prompts):
+        return ["{}" for _ in prompts]
+
+
+@pytest.mark.parametrize(("curator", "searches"), [(Curator(least_likeness=2.0), False), (Curator(least_likeness=1.0), True), (Curator(least_likeness=2.0, evolution=_Changes()), True), (Curator(least_likeness=2.0, link=_Changes()), True)])
+def test_neighbours_are_searched_only_for_those_who_ask(spark, at, tmp_path, monkeypatch, curator, searches):
+    from tidemark.operators import ingest as module
+
+    asked, topk_batch = [], module.V.topk_batch
+    monkeypatch.setattr(module.V, "topk_batch", lambda *a, **k: asked.append(1) or topk_batch(*a, **k))
+    store = open_store(spark, str(tmp_path))
+    same = spark.createDataFrame([("c", i, "question " * 20, "answer " * 30, at(i)) for i in range(3)], "conv_id string, seq long, question string, answer string, at timestamp_ntz")
+    ingest(store, same, curator=curator)
+    assert bool(asked) == searches and store.read("episodes").count() == 3
+    assert store.read("episode_links").count() == (6 if curator.least_likeness == 1.0 else 0)  # equal texts are links at likeness 1
